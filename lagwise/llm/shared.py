@@ -40,7 +40,7 @@ def plan_bytes(df: DataFrame) -> int:
     total = 0
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     for k in range(leaves.size()):
-        total += int(leaves.apply(k).stats().sizeInBytes().toString())
+        total += int(str(leaves.apply(k).stats().sizeInBytes()))
     return min(total, 1 << 60)
 
 
