@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, lm_scoring, quality_rules, simhash_dedup, url_filters
+from . import chat_format, lm_scoring, quality_rules, simhash_dedup, suffix_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash_dedup.classes(table(spark, sf_dir, "documents"))
@@ -42,5 +47,5 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_format, op3_quality_rules, op8_simhash_dedup, op9_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_format, op3_quality_rules, op7_suffix_dedup, op8_simhash_dedup, op9_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
