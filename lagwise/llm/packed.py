@@ -23,7 +23,7 @@ BLOCK_BYTES = 4 << 20
 PACKET = "dst long, src long, kind int, a binary, b binary"
 SCHEMA = pa.schema([("dst", pa.int64()), ("src", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 #: Kinds of packets that every exchange knows; operators number theirs from 10.
-DOCS = 0
+DOCS, ROWS = 0, 1
 #: Stands for a null id: after every other id.
 NO_ID = np.int64(2**63 - 1)
 U64 = np.uint64
@@ -110,6 +110,12 @@ def id_array(column: pa.Array) -> np.ndarray:
 
 def blocks(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of batches with doc_id and text. A document is never split, so a block holds one at least."""
+    for block, _ in blocks_with_rows(batches, most):
+        yield block
+
+
+def blocks_with_rows(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[tuple[Block, pa.RecordBatch]]:
+    """Blocks, each with its rows as they came."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -117,7 +123,7 @@ def blocks(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
         at = 0
         while at < len(ids):
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
-            yield Block(ids[at:to], data[off[at] : off[to]], off[at : to + 1] - off[at])
+            yield Block(ids[at:to], data[off[at] : off[to]], off[at : to + 1] - off[at]), batch.slice(at, to - at)
             at = to
 
 
@@ -132,6 +138,20 @@ def send_docs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packets([(b.name, 0, DOCS, *b.pack())])
 
 
+def send_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block as one packet to itself, and one with its rows' columns other than text."""
+    for b, rows in blocks_with_rows(batches):
+        rest = rows.drop_columns(["text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest.schema) as out:
+            out.write_batch(rest)
+        yield packets([(b.name, 0, DOCS, *b.pack()), (b.name, 0, ROWS, squeeze(sink.getvalue().to_pybytes()), b"")])
+
+
+def rows_sent(packet: dict) -> pa.Table:
+    return pa.ipc.open_stream(unsqueeze(packet["a"])).read_all()
+
+
 def split_by_bucket(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of ascending keys; buckets are equal ranges of the 64-bit key space."""
     width = (1 << 64) // n_buckets + 1

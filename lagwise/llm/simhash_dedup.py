@@ -32,8 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .packed import NO_ID, blocks
+from .packed import NO_ID, blocks, text_bytes
 from .shared import cut
 
 SHINGLE, SEED, BITS, BYTES = 3, 42, 2, 8
@@ -148,12 +149,38 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every document."""
-    held = cut(fingerprints(docs), "fingerprints")
+def _rooted(held: DataFrame) -> DataFrame:
+    """fp, root, component_id of each distinct fingerprint of held (doc_id, fp)."""
     distinct = cut(held.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fp")
     roots = components(links(distinct))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return held.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every document."""
+    held = cut(fingerprints(docs), "fingerprints")
+    return held.join(_rooted(held), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the least doc_id, unchanged.
+
+    Among rows with that doc_id, the one with the least fingerprint, then any of equal ones.
+    """
+    held = cut(fingerprints(docs), "fingerprints")
+    stay = held.join(_rooted(held), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("x"))
+    key = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)))
+    stay = stay.select(key("x.doc_id").alias("stay_id"), F.col("x.fp").alias("stay_fp"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("stay_fp", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = text_bytes(batch.column("text"))
+            raw = data.tobytes()
+            fp = fingerprints_of([raw[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=schema.names)
+
+    rows = docs.mapInArrow(run, schema).withColumn("stay_id", key("doc_id"))
+    return rows.join(stay, ["stay_id", "stay_fp"], "left_semi").dropDuplicates(["stay_id", "stay_fp"]).select(*docs.columns)

@@ -36,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .packed import BYTE, DOCS, NO_ID, PACKET, U64, Block, ask_totals, blocks, joined, mix, pack_ints, pack_sorted, packets, send_docs, split_by_bucket, squeeze, sum_by_key, totals, unpack_ints, unpack_sorted, unsqueeze
+from .packed import BYTE, DOCS, NO_ID, PACKET, ROWS, U64, Block, ask_totals, blocks, joined, mix, pack_ints, pack_sorted, packets, rows_sent, send_docs, send_rows, split_by_bucket, squeeze, sum_by_key, totals, unpack_ints, unpack_sorted, unsqueeze
 from .shared import buckets_for, cut
 from .suffix_array import suffix_array
 
@@ -326,7 +327,8 @@ def _answer_contexts(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([packets(out)])
 
 
-def _remove(full: bool):
+def _remove(full: bool, schema: pa.Schema | None = None):
+    """schema: that of the documents, where their own rows with what is left of their texts are wanted."""
     names = [x.strip().split()[0] for x in RESULT.split(",")]
 
     def run(table: pa.Table) -> pa.Table:
@@ -364,6 +366,15 @@ def _remove(full: bool):
         n_removed = upto[block.off[1:]] - upto[block.off[:-1]]
         n_spans = starts_upto[block.off[1:]] - starts_upto[block.off[:-1]]
         kept = [np.ascontiguousarray(block.data[i:j][~gone[i:j]] if r else block.data[i:j]).tobytes() for i, j, r in zip(block.off[:-1], block.off[1:], n_removed)]
+        if schema is not None:
+            for r in (r for r in rows if r["kind"] == ROWS):
+                text = pa.array([x.decode("utf-8", "ignore") for x in kept])
+                changed = pa.array(n_removed > 0)
+                cols = {"text": text} | {c: rest.column(c) for rest in [rows_sent(r)] for c in rest.column_names}
+                if "n_chars" in cols:
+                    cols["n_chars"] = pc.if_else(changed, pc.utf8_length(text).cast(cols["n_chars"].type), cols["n_chars"])
+                out.append(pa.table([cols[f.name].cast(f.type) for f in schema], names=schema.names))
+            return pa.concat_tables(out)
         cols = [pa.array(block.ids, mask=block.ids == NO_ID), pa.array(size.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(n_spans.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
         head = list(names)
         if full:
@@ -382,9 +393,19 @@ def _remove(full: bool):
 def dedup(docs: DataFrame, full: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; full: also the kept bytes and removed spans."""
     rows = docs.select("doc_id", "text")
+    return _exchange(rows, rows.mapInArrow(send_docs, PACKET)).applyInArrow(_remove(full), FULL if full else RESULT)
+
+
+def strip(docs: DataFrame) -> DataFrame:
+    """docs with repeated strings removed from text (bytes of a character that was cut go too), and n_chars made to fit."""
+    return _exchange(docs.select("doc_id", "text"), docs.mapInArrow(send_rows, PACKET)).applyInArrow(_remove(False, to_arrow_schema(docs.schema)), docs.schema)
+
+
+def _exchange(rows: DataFrame, sent_back: DataFrame):
+    """What each block needs, grouped by block: its documents as sent_back has them, and the answers to what it asked."""
     n = buckets_for(rows)
     met = cut(rows.mapInArrow(_ask(n), PACKET).groupBy("dst").applyInArrow(_answer, PACKET), "dedup-anchors")
-    sent = rows.mapInArrow(send_docs, PACKET)
-    asked = sent.unionAll(met).groupBy("dst").applyInArrow(_ask_contexts(n), PACKET)
+    asked = rows.mapInArrow(send_docs, PACKET)
+    asked = asked.unionAll(met).groupBy("dst").applyInArrow(_ask_contexts(n), PACKET)
     least = cut(asked.groupBy("dst").applyInArrow(_answer_contexts, PACKET), "dedup-strings")
-    return sent.unionAll(met).unionAll(least).groupBy("dst").applyInArrow(_remove(full), FULL if full else RESULT)
+    return sent_back.unionAll(met).unionAll(least).groupBy("dst")
