@@ -52,6 +52,8 @@ REACH = PLACES - 1
 ANCHORS, CLASSES, CONTEXTS, STRINGS = 10, 11, 12, 13
 #: Anchors in this many texts or more are too common to meet in one bucket: their strings are sent one by one.
 HOT = 2048
+#: Symbols sorted at a time: whole anchors, so a little more where one has many contexts.
+SORTED = 1 << 17
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 17
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -275,7 +277,7 @@ def least_ids(key, check, body, sides, ids) -> np.ndarray:
     some = np.flatnonzero(common.any(1))
     if not len(some):
         return least
-    for part in np.array_split(some, max(1, len(some) * (2 * REACH + 2) // (1 << 20))) if len(some) else []:
+    for part in np.array_split(some, max(1, len(some) * (2 * REACH + 2) // SORTED)) if len(some) else []:
         part = _whole_groups(part, some, group)
         if not len(part):
             continue
