@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .packed import NO_ID, Block, blocks
+from .packed import NO_ID, Block, ascending, blocks
 from .shared import crc_mod
 
 PROFILE, MAX_LANGS, SIZES = 400, 5_000, 3
@@ -117,8 +117,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, label = np.unique(own.astype(str), return_inverse=True)
             g = Grams(b)
             which, gram, n = g.counted(label)
-            spelled = g.spell(np.unique(gram))
-            text = pd.Index(spelled)[np.searchsorted(np.unique(gram), gram)]
+            known = ascending(gram)
+            text = pd.Index(g.spell(known))[np.searchsorted(known, gram)]
             for k, name in enumerate(names):
                 use = which == k
                 s = pd.Series(n[use], index=text[use])

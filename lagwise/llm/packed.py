@@ -160,6 +160,12 @@ def split_by_bucket(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, in
     return [(k, int(cuts[k]), int(cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts))]
 
 
+def ascending(x: np.ndarray) -> np.ndarray:
+    """The distinct values of x, ascending."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def sum_by_key(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, their sums, and for each entry the number of its key."""
     order = np.argsort(keys, kind="stable")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .packed import BYTE, DOCS, NO_ID, PACKET, ROWS, U64, Block, ask_totals, blocks, joined, mix, pack_ints, pack_sorted, packets, rows_sent, send_docs, send_rows, split_by_bucket, squeeze, sum_by_key, totals, unpack_ints, unpack_sorted, unsqueeze
+from .packed import BYTE, DOCS, NO_ID, PACKET, ROWS, U64, Block, ascending, ask_totals, blocks, joined, mix, pack_ints, pack_sorted, packets, rows_sent, send_docs, send_rows, split_by_bucket, squeeze, sum_by_key, totals, unpack_ints, unpack_sorted, unsqueeze
 from .shared import buckets_for, cut
 from .suffix_array import suffix_array
 
@@ -54,6 +54,8 @@ ANCHORS, CLASSES, CONTEXTS, STRINGS = 10, 11, 12, 13
 HOT = 2048
 #: Symbols sorted at a time: whole anchors, so a little more where one has many contexts.
 SORTED = 1 << 17
+#: Contexts looked at together.
+SLICE = 1 << 13
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 17
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -137,7 +139,7 @@ def _anchor_keys(block: Block, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor hashes, ascending, and in how many of the block's distinct texts each is."""
     pos, h = anchors(block.data, block.off)
     keys, _, number = sum_by_key(h, np.ones(len(h), np.int64))
-    pairs = np.unique(number * len(of) + of[block.doc_of(pos)])
+    pairs = ascending(number * len(of) + of[block.doc_of(pos)])
     return keys, np.bincount(pairs // max(1, len(of)), minlength=len(keys))
 
 
@@ -223,9 +225,9 @@ def distinct(key, check, body, sides, ids):
     n = len(key)
     if not n:
         return key, check, body, sides, ids, np.zeros(0, np.int64)
-    whole = np.concatenate([body, sides], 1).astype(np.uint64)
-    powers = np.cumprod(np.full(whole.shape[1], BASE, np.uint64), dtype=np.uint64)
-    print_ = mix((whole * powers).sum(1, dtype=np.uint64) + mix(check))
+    powers = np.cumprod(np.full(2 * REACH + 2, BASE, np.uint64), dtype=np.uint64)
+    parts = [(np.concatenate([body[k : k + SLICE], sides[k : k + SLICE]], 1) * powers).sum(1, dtype=np.uint64) for k in range(0, n, SLICE)]
+    print_ = mix(np.concatenate(parts) + mix(check))
     order = np.lexsort((ids, print_, key))
     k, p = key[order], print_[order]
     starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])]))
@@ -320,7 +322,11 @@ def _answer_contexts(table: pa.Table) -> pa.Table:
         sides.append(np.frombuffer(raw, np.uint8, 2 * n, 16 * n).reshape(n, 2))
         bodies.append(np.frombuffer(raw, np.uint8, 2 * REACH * n, 18 * n).reshape(n, 2 * REACH))
     *whole, of = distinct(np.concatenate(keys), np.concatenate(checks), np.concatenate(bodies), np.concatenate(sides), np.concatenate(ids))
-    least = least_ids(*whole)
+    least = np.repeat(whole[-1][:, None], PLACES, 1)
+    new = np.flatnonzero(np.concatenate([[True], whole[0][1:] != whole[0][:-1]]))
+    ends = np.unique(np.concatenate([new[np.searchsorted(new, np.arange(0, len(whole[0]), SLICE))[1:].clip(max=len(new) - 1)], [0, len(whole[0])]]))
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        least[i:j] = least_ids(*(x[i:j] for x in whole))
     out, at = [], 0
     for r, k in zip(rows, keys):
         mine = least[of[at : at + len(k)]]
