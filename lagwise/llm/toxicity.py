@@ -34,10 +34,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import NO_ID, U64, blocks, hash_spans, mix, spans
+from .packed import NO_ID, U64, blocks, hash_spans, mix, spans, sum_by_key
 from .shared import crc_mod, cut
 
-ORDER, SHARED, DISCOUNT, PASSAGE, FIT_DOCS, FOLD = 6, 2, 0.75, 16, 6_000, 4
+ORDER, SHARED, DISCOUNT, PASSAGE, FIT_DOCS, FOLD = 6, 2, 0.75, 16, 2_500, 4
 THRESHOLD = 0.3
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 #: Bytes that end a word: ASCII other than letters.
@@ -49,36 +49,39 @@ def _shift(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mix(context * U64(0x9E3779B97F4A7C15) + symbol + U64(1))
 
 
-def grams(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1..ORDER: (gram hash, context hash, hash of the gram without its first symbol) at each symbol of words, ends included.
+class Symbols:
+    """The symbols of words, ends included, from which grams of each length are hashed.
 
     Where a word is shorter than the context, its beginning (symbol 0) pads it. Symbols are bytes + 1.
     """
-    symbols = np.frombuffer(b"\0".join([b"", *words, b""]), np.uint8).astype(np.uint64)
-    # a word's first symbol follows a 0; its end is the 0 after it
-    at = np.arange(1, len(symbols))
-    since = np.where(symbols[:-1] == 0, np.arange(len(symbols) - 1), 0)
-    since = np.maximum.accumulate(since)  # the 0 before each symbol
-    out = []
-    for n in range(1, ORDER + 1):
-        context, tail_context = np.full(len(at), U64(n)), np.full(len(at), U64(n - 1))
+
+    def __init__(self, words: list[bytes]):
+        self.symbols = np.frombuffer(b"\0".join([b"", *words, b""]), np.uint8).astype(np.uint64)
+        # a word's first symbol follows a 0; its end is the 0 after it
+        self.at = np.arange(1, len(self.symbols))
+        since = np.where(self.symbols[:-1] == 0, np.arange(len(self.symbols) - 1), 0)
+        self.since = np.maximum.accumulate(since)  # the 0 before each symbol
+
+    def context(self, n: int) -> np.ndarray:
+        """The hash of the n - 1 symbols before each one."""
+        out = np.full(len(self.at), U64(n))
         for back in range(n - 1, 0, -1):
-            place = at - back
-            symbol = np.where(place > since, symbols[np.maximum(place, 0)] + U64(1), U64(0))
-            context = _shift(context, symbol)
-            if back < n - 1:
-                tail_context = _shift(tail_context, symbol)
-        symbol = symbols[at] + U64(1)
-        out.append((_shift(context, symbol), context, _shift(tail_context, symbol)))
-    return out
+            place = self.at - back
+            out = _shift(out, np.where(place > self.since, self.symbols[np.maximum(place, 0)] + U64(1), U64(0)))
+        return out
+
+    def gram(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each n-gram and of its context."""
+        context = self.context(n)
+        return _shift(context, self.symbols[self.at] + U64(1)), context
 
 
 class Table:
     """Numbers by 64-bit key; 0 for keys it doesn't hold."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, number = np.unique(keys, return_inverse=True)
-        self.values = np.bincount(number, weights=values, minlength=len(self.keys)).astype(np.float32)
+        self.keys, total, _ = sum_by_key(keys, values)
+        self.values = total.astype(np.float32)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -99,13 +102,13 @@ class Model:
         """counts: (words, 2), how often each word comes in ordinary and in toxic documents."""
         size = np.array([len(w) + 1 for w in words])
         each = np.repeat(counts.astype(np.float64), size, axis=0)
-        levels, all_grams = [], grams(words)
-        for n, (gram, context, _) in enumerate(all_grams, 1):
+        levels, text = [], Symbols(words)
+        for n in range(1, ORDER + 1):
+            gram, context = text.gram(n)
             if n <= SHARED:
                 # continuation counts: in how many distinct longer grams each one ends
-                longer, first = np.unique(all_grams[n][0], return_index=True)
-                tail, ctx = all_grams[n][2][first], context[first]
-                levels.append([_counted(tail, ctx, np.ones(len(longer)))] * 2)
+                _, first = np.unique(text.gram(n + 1)[0], return_index=True)
+                levels.append([_counted(gram[first], context[first], np.ones(len(first)))] * 2)
             else:
                 levels.append([_counted(gram[use], context[use], each[use, c]) for c in (0, 1) for use in [each[:, c] > 0]])
         return Model(levels, 257)
@@ -115,11 +118,13 @@ class Model:
         if not words:
             return np.zeros(0)
         p = [np.full(sum(len(w) + 1 for w in words), 1.0 / self.symbols)] * 2
-        for level, (gram, context, _) in zip(self.tables, grams(words)):
+        text = Symbols(words)
+        for n, level in enumerate(self.tables, 1):
+            gram, context = text.gram(n)
             for c in (0, 1):
                 count, total, kinds = (t(k) for t, k in zip(level[c], (gram, context, context)))
                 mixed = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds * p[c]) / np.maximum(total, 1e-9)
-                p = [np.where(total > 0, mixed, p[k]) if k == c else p[k] for k in (0, 1)]
+                p[c] = np.where(total > 0, mixed, p[c])
         begin = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
         return np.add.reduceat(np.log(p[1]) - np.log(p[0]), begin)
 
