@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import DOCS, LOWER, NO_ID, PACKET, SPACES, U64, Block, ask_totals, blocks, hash_spans, joined, mix, pack_ints, packets, send_docs, spans, sum_by_key, totals, unpack_ints
-from .shared import buckets_for, cut
+from .shared import buckets_for, cut, stable
 
 WORDS, PAIRS, STATS = 10, 11, 12
 START, END = U64(0x51ED270B7A1F3C69), U64(0x2545F4914F6CDD1D)
@@ -207,7 +207,7 @@ def score(docs: DataFrame, test_mod: int = 7, test_rest: int = 2) -> DataFrame:
 
     Documents whose crc32(doc_id as text) mod test_mod is test_rest are held out; the others train.
     """
-    rows = docs.select("doc_id", "text")
+    rows = stable(docs.select("doc_id", "text"), "lm-docs")
     asked = rows.mapInArrow(_ask(buckets_for(rows), test_mod, test_rest), PACKET)
     answers = cut(asked.groupBy("dst").applyInArrow(_answer, PACKET), "lm-totals")
     stats = [np.frombuffer(bytes(r.a), np.int64) for r in answers.where(F.col("kind") == STATS).select("a").toLocalIterator()]

@@ -35,6 +35,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame, label: str) -> DataFrame:
+    """df itself if it is a plain read of a table, which comes in the same order every time; else a cut of it.
+
+    Operators that read their input more than once and match blocks of it need this.
+    """
+    plain, todo = {"Project", "Filter", "LogicalRelation", "LocalRelation"}, [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in plain:
+            return cut(df, label)
+        below = node.children()
+        todo += [below.apply(k) for k in range(below.size())]
+    return df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df's sources, for sizing buckets. Never decides what is kept."""
     total = 0

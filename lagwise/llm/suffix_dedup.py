@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .packed import BYTE, DOCS, NO_ID, PACKET, ROWS, U64, Block, ascending, ask_totals, blocks, joined, mix, pack_ints, pack_sorted, packets, rows_sent, send_docs, send_rows, split_by_bucket, squeeze, sum_by_key, totals, unpack_ints, unpack_sorted, unsqueeze
-from .shared import buckets_for, cut
+from .shared import buckets_for, cut, stable
 from .suffix_array import suffix_array
 
 LENGTH, CORE = 50, 32
@@ -400,12 +400,13 @@ def _remove(full: bool, schema: pa.Schema | None = None):
 
 def dedup(docs: DataFrame, full: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; full: also the kept bytes and removed spans."""
-    rows = docs.select("doc_id", "text")
+    rows = stable(docs.select("doc_id", "text"), "dedup-docs")
     return _exchange(rows, rows.mapInArrow(send_docs, PACKET)).applyInArrow(_remove(full), FULL if full else RESULT)
 
 
 def strip(docs: DataFrame) -> DataFrame:
     """docs with repeated strings removed from text (bytes of a character that was cut go too), and n_chars made to fit."""
+    docs = stable(docs, "dedup-docs")
     return _exchange(docs.select("doc_id", "text"), docs.mapInArrow(send_rows, PACKET)).applyInArrow(_remove(False, to_arrow_schema(docs.schema)), docs.schema)
 
 
