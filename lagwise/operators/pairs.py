@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-PAIR = Window.partitionBy("x", "y")
+
+def pair_window() -> WindowSpec:
+    return Window.partitionBy("x", "y")
 
 
 def aligned(obs: DataFrame) -> DataFrame:
@@ -42,12 +44,12 @@ def lagged(pairs: DataFrame, lag: int) -> DataFrame:
     """Pairs with x taken `lag` places earlier: (x[:n-lag], y[lag:])."""
     if not lag:
         return pairs
-    return pairs.withColumn("xv", F.lag("xv", lag).over(PAIR.orderBy("ts"))).where(F.col("xv").isNotNull())
+    return pairs.withColumn("xv", F.lag("xv", lag).over(pair_window().orderBy("ts"))).where(F.col("xv").isNotNull())
 
 
 def _mid_rank(value: str):
     ties = Window.partitionBy("x", "y", value)
-    return F.rank().over(PAIR.orderBy(value)) + (F.count("*").over(ties) - 1) / 2
+    return F.rank().over(pair_window().orderBy(value)) + (F.count("*").over(ties) - 1) / 2
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def histogram_mi(pairs: DataFrame, bins: int = 20) -> DataFrame:
 
 def ridge_one(pairs: DataFrame, lag: int, ratio: float = 0.6, alpha: float = 1.0) -> DataFrame:
     """x, y, slope, intercept of y on x `lag` places earlier, fitted on the first floor(n * ratio) rows; closed form."""
-    rows = lagged(pairs, lag).select("*", F.row_number().over(PAIR.orderBy("ts")).alias("i"), F.count("*").over(PAIR).alias("n"))
+    rows = lagged(pairs, lag).select("*", F.row_number().over(pair_window().orderBy("ts")).alias("i"), F.count("*").over(pair_window()).alias("n"))
     fit = rows.where(F.col("i") <= F.floor(F.col("n") * ratio)).groupBy("x", "y")
     s = fit.agg(F.covar_pop("xv", "yv").alias("c"), F.var_pop("xv").alias("v"), F.count("*").alias("k"), F.avg("xv").alias("mx"), F.avg("yv").alias("my"))
     slope = F.col("c") * F.col("k") / (F.col("v") * F.col("k") + alpha)
@@ -95,7 +97,7 @@ def backtest(pairs: DataFrame, lag: int, ratio: float = 0.6) -> DataFrame:
     """Sign trades of y on the ridge prediction from x, on the rows after the fit: sharpe, win rate, drawdown, buy and hold."""
     from .series import drawdown, sharpe
 
-    rows = lagged(pairs, lag).select("*", F.row_number().over(PAIR.orderBy("ts")).alias("i"), F.count("*").over(PAIR).alias("n"))
+    rows = lagged(pairs, lag).select("*", F.row_number().over(pair_window().orderBy("ts")).alias("i"), F.count("*").over(pair_window()).alias("n"))
     test = rows.where(F.col("i") > F.floor(F.col("n") * ratio)).join(ridge_one(pairs, lag, ratio), ["x", "y"])
     position = F.when(F.col("intercept") + F.col("slope") * F.col("xv") > 0, 1.0).otherwise(-1.0)
     trades = test.select(F.concat_ws("|", "x", "y").alias("pair"), "ts", (position * F.col("yv")).alias("value"), "yv")
@@ -105,9 +107,9 @@ def backtest(pairs: DataFrame, lag: int, ratio: float = 0.6) -> DataFrame:
 
 def ar1_mse(obs: DataFrame, ratio: float = 0.7) -> DataFrame:
     """variable_id, phi, mse of an autoregression of order 1 without intercept, on the rows after the fit."""
-    from .series import BY_TIME, split_at
+    from .series import by_time, split_at
 
-    rows = split_at(obs, ratio).withColumn("before", F.lag("value").over(BY_TIME)).where(F.col("before").isNotNull())
+    rows = split_at(obs, ratio).withColumn("before", F.lag("value").over(by_time())).where(F.col("before").isNotNull())
     fit = rows.where("train").groupBy("variable_id").agg((F.sum(F.col("value") * F.col("before")) / F.sum(F.col("before") * F.col("before"))).alias("phi"))
     test = rows.where(~F.col("train")).join(fit, "variable_id")
     return test.groupBy("variable_id", "phi").agg(F.avg(F.pow(F.col("value") - F.col("phi") * F.col("before"), 2)).alias("mse"))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-BY_TIME = Window.partitionBy("variable_id").orderBy("ts")
 CATALOG = "variable_id string, source string, name string, frequency string, unit string, geo string, observations int, start_date date, end_date date, domain string"
 OBSERVATIONS = "variable_id string, ts date, value double"
 
 
+def by_time() -> WindowSpec:
+    return Window.partitionBy("variable_id").orderBy("ts")
+
+
 def real(value: str = "value") -> Column:
     """value with NaN as null, so that aggregates skip it."""
     return F.when(~F.isnan(value), F.col(value))
@@ -55,7 +58,7 @@ def upsert(held: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def median_gap(obs: DataFrame) -> DataFrame:
     """Median days between neighbours; 0 for series of under two points."""
-    gaps = obs.select("variable_id", F.datediff("ts", F.lag("ts").over(BY_TIME)).alias("gap"))
+    gaps = obs.select("variable_id", F.datediff("ts", F.lag("ts").over(by_time())).alias("gap"))
     return gaps.groupBy("variable_id").agg(F.coalesce(F.median("gap"), F.lit(0.0)).alias("median_gap"))
 
 
@@ -89,12 +92,12 @@ def quality(obs: DataFrame, min_obs: int = 120, min_var: float = 1e-10, max_nan:
 
 
 def first_difference(obs: DataFrame) -> DataFrame:
-    return obs.withColumn("value", F.col("value") - F.lag("value").over(BY_TIME)).where(F.col("value").isNotNull())
+    return obs.withColumn("value", F.col("value") - F.lag("value").over(by_time())).where(F.col("value").isNotNull())
 
 
 def detrend(obs: DataFrame) -> DataFrame:
     """Residuals from a least-squares line through places 0..n-1."""
-    placed = obs.withColumn("i", F.row_number().over(BY_TIME) - 1)
+    placed = obs.withColumn("i", F.row_number().over(by_time()) - 1)
     line = placed.groupBy("variable_id").agg(F.regr_slope("value", "i").alias("slope"), F.regr_intercept("value", "i").alias("level"))
     return placed.join(line, "variable_id").select("variable_id", "ts", (F.col("value") - F.col("level") - F.coalesce("slope", F.lit(0.0)) * F.col("i")).alias("value"))
 
@@ -102,7 +105,7 @@ def detrend(obs: DataFrame) -> DataFrame:
 def split_at(obs: DataFrame, ratio: float) -> DataFrame:
     """obs with place i, length n, and train: whether i is among the first floor(n * ratio)."""
     every = Window.partitionBy("variable_id")
-    out = obs.select("*", (F.row_number().over(BY_TIME) - 1).alias("i"), F.count("*").over(every).alias("n"))
+    out = obs.select("*", (F.row_number().over(by_time()) - 1).alias("i"), F.count("*").over(every).alias("n"))
     return out.withColumn("train", F.col("i") < F.floor(F.col("n") * ratio))
 
 
