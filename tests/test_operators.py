@@ -1,6 +1,7 @@
 import datetime as dt
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,8 @@ def test_query_equals_sql(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     want = con.sql(queries.ORACLE[name]).df()[list(got.columns)]
     def cell(v):
+        if pd.isna(v):
+            return "null"
         try:
             return round(float(v), 5)
         except (TypeError, ValueError):
