@@ -49,4 +49,4 @@ def discovery(spark, sf_dir):
     return D.discover(monthly(spark, sf_dir), FAST).select("rank", "x", "y", "direction", "lag", "mi", "direction_pvalue", "oos_r2", "score", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (ksg_screen, lag_profile, lead_direction, stationarity, granger_causality, out_of_sample, walk_forward, discovery)}
+QUERIES = {f.__name__: f for f in (ksg_screen, lag_profile, lead_direction, stationarity, granger_causality, out_of_sample, walk_forward)}
