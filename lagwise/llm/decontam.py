@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from .shared import cut
 
 GRAM, SIMILARITY, RARE, SPACING, PIECE, BLOCK_WORDS, SLACK = 5, 0.8, 100, 4, 256, 200_000, 8
 MATCH, MISS = 2, -1
+#: Bytes of text worked on at a time, and of windows whose alignments are remembered.
+SLICE, MEMO = 1 << 21, 1 << 24
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SAME = np.arange(256, dtype=np.uint8)
 FOUND = "doc_id long, item_id long, similarity double, score int, first_word long, last_word long"
@@ -50,6 +53,15 @@ def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about SLICE bytes of text, one row at least: a batch is bounded in rows only."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(upto // SLICE)) + 1
+        for i, j in pairwise([0, *cuts.tolist(), batch.num_rows]):
+            yield batch.slice(i, j - i)
+
+
 def gram_hashes(w: np.ndarray, n: int) -> np.ndarray:
     """A hash of the n words from each place."""
     if len(w) < n:
@@ -110,7 +122,7 @@ def _count(index: Index):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {n: np.zeros(len(g[0]), np.int64) for n, g in index.grams.items()}
-        for batch in batches:
+        for batch in slices(batches):
             data, off = lowered(batch.column("text"))
             w, begin = words(data, off)
             for n in index.grams:
@@ -165,7 +177,7 @@ class Finder:
     """Contaminations in batches of texts; alignments of equal words are done once."""
 
     def __init__(self, index: Index):
-        self.index, self.done = index, {}
+        self.index, self.done, self.held = index, {}, 0
 
     def find(self, column: pa.Array) -> list[tuple[int, int, float, int, int, int]]:
         """(row, item, similarity, score, first word, last word), the best per row and item."""
@@ -209,8 +221,9 @@ class Finder:
     def _align(self, piece: int, text: np.ndarray) -> tuple[int, int, int, int]:
         key = (piece, text.tobytes())
         if key not in self.done:
-            if len(self.done) > 50_000:
-                self.done.clear()
+            if self.held > MEMO:
+                self.done, self.held = {}, 0
+            self.held += len(key[1])
             self.done[key] = align(self.index.words[piece], text)
         return self.done[key]
 
@@ -250,7 +263,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             finder = Finder(index)
-            for batch in batches:
+            for batch in slices(batches):
                 found = finder.find(batch.column("text"))
                 ids = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
                 rest = list(zip(*(f[1:] for f in found))) if found else [()] * 5
@@ -272,7 +285,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             finder = Finder(index)
-            for batch in batches:
+            for batch in slices(batches):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[f[0] for f in finder.find(batch.column("text"))]] = False
                 yield batch.filter(pa.array(keep))
