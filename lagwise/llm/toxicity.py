@@ -13,7 +13,7 @@ away; a logistic regression of the two, fitted on labelled documents kept out of
 counts, turns them into a score from 0 to 1.
 
 Counts come from at most FIT_DOCS labelled documents of each class, those with the smallest
-hash of their text (a documented bound on fitting only: models are sent to all executors,
+hash of their id (a documented bound on fitting only: models are sent to all executors,
 and FIT_DOCS bounds them). Every document is scored whole, in one scan, without a shuffle.
 
 Defined cases: null, empty and letterless texts have difference 0 and get the score that
@@ -194,13 +194,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame) -> tuple[Model, np.ndarray] | float:
-    """(model, weights) from labelled (doc_id, text, toxic), or the only class seen."""
-    few = None
-    for c in (0, 1):
-        part = labelled.where(F.col("toxic") == c).select("toxic", "text", F.xxhash64("text").alias("pick")).orderBy("pick", "text").limit(FIT_DOCS)
-        few = part if few is None else few.unionAll(part)
-    few = cut(few.repartition(16, "pick"), "toxicity-fit")
+def fit(docs: DataFrame, known: DataFrame) -> tuple[Model, np.ndarray] | float:
+    """(model, weights) from docs (doc_id, text) and known (doc_id, toxic; one row per id), or the only class seen.
+
+    Only ids are shuffled to choose among them; the texts chosen come by a broadcast of at most 2 * FIT_DOCS ids.
+    """
+    ids = docs.where(F.col("text").isNotNull()).select("doc_id").distinct().join(known, "doc_id")
+    first = [ids.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS) for c in (0, 1)]
+    chosen = docs.where(F.col("text").isNotNull()).join(F.broadcast(first[0].unionAll(first[1])), "doc_id")
+    held = cut(chosen.select("toxic", "text", F.xxhash64("text").alias("pick"), F.xxhash64("doc_id").alias("rank")), "toxicity-chosen")
+    # repeated rows of one id count towards the bound too
+    parts = [held.where(F.col("toxic") == c).orderBy("rank", "text").limit(FIT_DOCS).drop("rank") for c in (0, 1)]
+    few = cut(parts[0].unionAll(parts[1]).repartition(16, "pick"), "toxicity-fit")
     letters = F.array_remove(F.split(F.regexp_replace(F.lower("text"), r"[\x00-\x60\x7B-\x7F]+", " "), " "), "")
     counted = few.where(F.col("pick") % FOLD != 0).select("toxic", F.explode(letters).alias("w")).groupBy("w").agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t")).toPandas()
     if not counted["t"].sum() or not counted["o"].sum():
@@ -225,7 +230,7 @@ def fit(labelled: DataFrame) -> tuple[Model, np.ndarray] | float:
 def score(docs: DataFrame, labels: DataFrame, test_mod: int = 4, test_rest: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; labels (doc_id, toxic) of held-out ids aren't read."""
     known = labels.where((crc_mod("doc_id", test_mod) != test_rest) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(known, "doc_id"))
+    model = fit(docs.select("doc_id", "text"), known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None if isinstance(model, float) else Scorer(model[0])
