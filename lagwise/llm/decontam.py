@@ -1,17 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters and digits and of all other non-ASCII characters, lower
-case. Every GRAM-word sequence of a test item is a possible seed. A first scan of the corpus
-counts how many documents hold each; seeds are those in at most RARE documents, and in every
-SPACING neighbouring sequences of an item the rarest one, however frequent it is, so that no
-stretch of an item is without seeds and a passage that was copied a million times is still
-found. A second scan joins seeds to documents, clusters the hits on a diagonal and aligns
-the item with the words around (match 2, mismatch and gap -1). A document is contaminated
-by an item if the alignment matches at least SIMILARITY of the item's words.
+case. Every GRAM-word sequence of a test item is a seed, however many documents hold it:
+the sequences that an edited copy leaves whole are often the frequent ones, so a choice by
+rarity would lose it beside many exact copies. A scan of the corpus joins seeds to documents,
+clusters the hits on a diagonal and aligns the item with the words around (match 2, mismatch
+and gap -1) where these hold enough of the item's words. A document is contaminated by an
+item if the alignment matches at least SIMILARITY of the item's words.
 
 The test items are the query set: they go to the executors in blocks of at most BLOCK_WORDS
-words, one pair of scans each, so what is broadcast is bounded whatever their number. The
-corpus is never shuffled; a hot passage is aligned once per task and text around it.
+words, one scan each, so what is broadcast is bounded whatever their number. The corpus is
+never shuffled; a hot passage is aligned once per task and text around it.
 Items longer than PIECE words are aligned in pieces, and one contaminated piece counts.
 
 Defined cases: items without a word match nothing, those under GRAM words must occur whole
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from .packed import U64, hash_spans, mix, spans, text_bytes
 from .shared import cut
 
-GRAM, SIMILARITY, RARE, SPACING, PIECE, BLOCK_WORDS, SLACK = 5, 0.8, 100, 4, 256, 200_000, 8
+GRAM, SIMILARITY, PIECE, BLOCK_WORDS, SLACK = 5, 0.8, 256, 200_000, 8
 MATCH, MISS = 2, -1
 #: Bytes of text worked on at a time, and of windows whose alignments are remembered.
 SLICE, MEMO = 1 << 21, 1 << 24
@@ -87,8 +86,8 @@ class Index:
             self.item.append(item)
             self.words.append(part)
 
-    def build(self, keep: dict[int, np.ndarray] | None = None) -> Index:
-        """Fills grams; keep: by length, the ascending hashes of those to keep."""
+    def build(self) -> Index:
+        """Fills grams."""
         by: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, w in enumerate(self.words):
             n = min(GRAM, len(w))
@@ -96,9 +95,6 @@ class Index:
             by.setdefault(n, []).append((h, np.full(len(h), k), np.arange(len(h))))
         for n, parts in by.items():
             h, piece, place = (np.concatenate(x) for x in zip(*parts))
-            if keep is not None:
-                use = np.isin(h, keep[n])
-                h, piece, place = h[use], piece[use], place[use]
             order = np.lexsort((place, piece, h))
             self.grams[n] = (h[order], piece[order], place[order])
             self.marks[n] = np.zeros(1 << 20, bool)
@@ -117,41 +113,6 @@ class Index:
         return at[same], where[same]
 
 
-def _count(index: Index):
-    """In how many of a partition's documents each gram occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {n: np.zeros(len(g[0]), np.int64) for n, g in index.grams.items()}
-        for batch in slices(batches):
-            data, off = lowered(batch.column("text"))
-            w, begin = words(data, off)
-            for n in index.grams:
-                at, where = index.hits(w, n)
-                doc = np.searchsorted(begin, at, "right") - 1
-                inside = at + n <= begin[doc + 1]
-                pairs = np.unique(np.stack([where[inside], doc[inside]]), axis=1)
-                np.add.at(total[n], pairs[0], 1)
-        rows = [(n, k, t[k]) for n, t in total.items() for k in np.flatnonzero(t).tolist()]
-        cols = list(zip(*rows)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["n", "k", "docs"])
-
-    return run
-
-
-def rare_seeds(index: Index, docs: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """By length, the ascending hashes of rare grams and of the rarest among SPACING neighbours. docs: as grams, document counts."""
-    keep: dict[int, list[np.ndarray]] = {n: [] for n in index.grams}
-    for w in index.words:
-        n = min(GRAM, len(w))
-        h = gram_hashes(w, n)
-        count = docs[n][np.searchsorted(index.grams[n][0], h)]
-        use = count <= RARE
-        for k in range(max(1, len(h) - SPACING + 1)):
-            use[k + int(count[k : k + SPACING].argmin())] = True
-        keep[n].append(h[use])
-    return {n: np.unique(np.concatenate(x)) for n, x in keep.items()}
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
     """Best local alignment: (score, matched words, first and last+1 word of text)."""
     idx = np.arange(len(text) + 1)
@@ -211,6 +172,8 @@ class Finder:
             r, p = int(row[a]), int(piece[a])
             item, slack = self.index.words[p], SLACK + len(self.index.words[p]) // 4
             lo, hi = max(int(begin[r]), int(start[a]) - slack), min(int(begin[r + 1]), int(start[b]) + len(item) + slack)
+            if np.isin(item, w[lo:hi]).mean() < SIMILARITY:
+                continue
             score, matched, i, j = self._align(p, w[lo:hi])
             got = (matched / len(item), score, lo + i - int(begin[r]), lo + j - 1 - int(begin[r]))
             key = (r, self.index.item[p])
@@ -242,24 +205,10 @@ def index_blocks(items: DataFrame) -> Iterator[Index]:
         yield index.build()
 
 
-def seeded(docs: DataFrame, items: DataFrame) -> list[Index]:
-    """The blocks of items with their seeds, after a scan of docs for each."""
-    out = []
-    for index in index_blocks(items):
-        counts = docs.select("text").mapInArrow(_count(index), "n long, k long, docs long").groupBy("n", "k").agg(F.sum("docs").alias("docs")).toPandas()
-        docs_of = {n: np.zeros(len(g[0]), np.int64) for n, g in index.grams.items()}
-        for n, part in counts.groupby("n"):
-            docs_of[n][part["k"].to_numpy()] = part["docs"].to_numpy()
-        # equal hashes share the count of the first
-        docs_of = {n: c[np.searchsorted(index.grams[n][0], index.grams[n][0])] for n, c in docs_of.items()}
-        out.append(Index(index.item, index.words).build(rare_seeds(index, docs_of)))
-    return out
-
-
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, score, first_word, last_word: a row per document and item that it holds."""
     parts = []
-    for index in seeded(docs, items):
+    for index in index_blocks(items):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             finder = Finder(index)
@@ -281,7 +230,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no test item, unchanged."""
-    for index in seeded(docs, items):
+    for index in index_blocks(items):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             finder = Finder(index)

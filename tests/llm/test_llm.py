@@ -192,6 +192,20 @@ def test_decontamination(spark):
     assert decontam.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_edited_copy_beside_many_exact_ones(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    item = prose(20)
+    edited = item.split()
+    edited[6] = edited[13] = "changed"
+    rows = [(k, prose(3) + " " + item) for k in range(200)] + [(200, prose(9) + " " + " ".join(edited) + " " + prose(9)), (201, prose(60))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(0, item)], "item_id long, text string")
+    got = {x.doc_id: x.similarity for x in decontam.contaminated(d, b).collect()}
+    assert got == {k: 1.0 for k in range(200)} | {200: 0.9}
+    assert [x.doc_id for x in decontam.clean(d, b).collect()] == [201]
+
+
 def test_quality_counts(docs):
     def brute(text):
         t = text or ""
