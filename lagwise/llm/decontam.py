@@ -1,7 +1,9 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters and digits and of all other non-ASCII characters, lower
-case. Every GRAM-word sequence of a test item is a seed, however many documents hold it:
+case. Every sequence of GRAM words of a test item (fewer in items under 6 words, see
+seed_length) is a seed, so each copy with at most 1 - SIMILARITY of the words changed, left
+out or put in keeps one whole. It is a seed however many documents hold it:
 the sequences that an edited copy leaves whole are often the frequent ones, so a choice by
 rarity would lose it beside many exact copies. A scan of the corpus joins seeds to documents,
 clusters the hits on a diagonal and aligns the item with the words around (match 2, mismatch
@@ -13,8 +15,7 @@ words, one scan each, so what is broadcast is bounded whatever their number. The
 never shuffled; a hot passage is aligned once per task and text around it.
 Items longer than PIECE words are aligned in pieces, and one contaminated piece counts.
 
-Defined cases: items without a word match nothing, those under GRAM words must occur whole
-to seed; null texts hold nothing; null doc_ids are returned as null; repeated rows are
+Defined cases: items without a word match nothing; null texts hold nothing; null doc_ids are returned as null; repeated rows are
 judged each; repeated items give a row for each item_id; either table empty: empty result.
 """
 
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 from .packed import U64, hash_spans, mix, spans, text_bytes
 from .shared import cut
 
-GRAM, SIMILARITY, PIECE, BLOCK_WORDS, SLACK = 5, 0.8, 256, 200_000, 8
+GRAM, SIMILARITY, PIECE, BLOCK_WORDS, SLACK = 3, 0.8, 256, 200_000, 8
 MATCH, MISS = 2, -1
-#: Bytes of text worked on at a time, and of windows whose alignments are remembered.
-SLICE, MEMO = 1 << 21, 1 << 24
+#: Bytes of text worked on at a time, and of windows whose alignments are remembered; hits at a time (those of one text at least).
+SLICE, MEMO, HITS = 1 << 21, 1 << 24, 1 << 20
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SAME = np.arange(256, dtype=np.uint8)
 FOUND = "doc_id long, item_id long, similarity double, score int, first_word long, last_word long"
@@ -71,6 +72,12 @@ def gram_hashes(w: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def seed_length(n: int) -> int:
+    """At most GRAM, and at most the longest run that is sure to be left in n words after 1 - SIMILARITY of them were edited."""
+    edits = int(n * (1 - SIMILARITY) + 1e-9)
+    return min(GRAM, -(-(n - edits) // (edits + 1)))
+
+
 @dataclass
 class Index:
     """Pieces of test items, and their grams by length: hash, piece and place, ascending by hash."""
@@ -90,7 +97,7 @@ class Index:
         """Fills grams."""
         by: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, w in enumerate(self.words):
-            n = min(GRAM, len(w))
+            n = seed_length(len(w))
             h = gram_hashes(w, n)
             by.setdefault(n, []).append((h, np.full(len(h), k), np.arange(len(h))))
         for n, parts in by.items():
@@ -144,21 +151,32 @@ class Finder:
         """(row, item, similarity, score, first word, last word), the best per row and item."""
         data, off = lowered(column)
         w, begin = words(data, off)
-        rows, pieces, places, starts = [], [], [], []
+        seeds, load = [], np.zeros(len(column) + 1, np.int64)
         for n, (known, piece, place) in self.index.grams.items():
             at, where = self.index.hits(w, n)
             doc = np.searchsorted(begin, at, "right") - 1
             inside = at + n <= begin[doc + 1]
             at, where, doc = at[inside], where[inside], doc[inside]
             many = np.searchsorted(known, known[where], "right") - where if len(where) else where
-            k = np.repeat(where, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            rows.append(np.repeat(doc, many))
-            pieces.append(piece[k])
-            places.append(place[k])
-            starts.append(np.repeat(at, many) - place[k])
-        if not rows:
-            return []
-        row, piece, start = (np.concatenate(x) for x in (rows, pieces, starts))
+            np.add.at(load, doc + 1, many)
+            seeds.append((piece, place, at, where, doc, many))
+        cuts = np.flatnonzero(np.diff(np.cumsum(load)[1:] // HITS)) + 1
+        out = []
+        for lo, hi in pairwise([0, *cuts.tolist(), len(column)]):
+            rows, pieces, starts = [], [], []
+            for piece, place, *hits in seeds:
+                a, b = np.searchsorted(hits[2], [lo, hi])
+                at, where, doc, many = (x[a:b] for x in hits)
+                k = np.repeat(where, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                rows.append(np.repeat(doc, many))
+                pieces.append(piece[k])
+                starts.append(np.repeat(at, many) - place[k])
+            if rows:
+                out += self._judge(w, begin, *(np.concatenate(x) for x in (rows, pieces, starts)))
+        return out
+
+    def _judge(self, w: np.ndarray, begin: np.ndarray, row: np.ndarray, piece: np.ndarray, start: np.ndarray) -> list[tuple[int, int, float, int, int, int]]:
+        """What find gives, from hits: the row, the piece, and where the piece would begin in w."""
         order = np.lexsort((start, piece, row))
         row, piece, start = row[order], piece[order], start[order]
         if not len(row):

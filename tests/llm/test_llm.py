@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -206,6 +207,31 @@ def test_edited_copy_beside_many_exact_ones(spark):
     assert [x.doc_id for x in decontam.clean(d, b).collect()] == [201]
 
 
+def test_seeds_miss_no_edited_copy():
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    hashed = lambda t: decontam.words(*decontam.lowered(pa.array([t])))[0]
+    items = [[word() for _ in range(n)] for n in (*range(1, 61), 200)]
+    index = decontam.Index()
+    for k, item in enumerate(items):
+        index.add(k, hashed(" ".join(item)))
+    index.build()
+    texts, sure = [], set()
+    for k, item in enumerate(items):
+        edits = len(item) // 5
+        for trial in range(8):
+            copy = list(item)
+            places = range(4, 5 * edits, 5) if trial == 0 else range(2, 5 * edits, 5) if trial == 1 else r.sample(range(len(item)), edits)
+            for i in sorted(places, reverse=True):
+                copy[i : i + 1] = [[word()], [], [copy[i], word()]][0 if trial < 2 else r.randrange(3)]
+            texts.append(" ".join([*(word() for _ in range(12)), *copy, *(word() for _ in range(12))]))
+            if decontam.align(hashed(" ".join(item)), hashed(texts[-1]))[1] >= decontam.SIMILARITY * len(item):
+                sure.add((len(texts) - 1, k))
+    assert len(sure) > 0.8 * len(texts)
+    found = {x[:2] for x in decontam.Finder(index).find(pa.array(texts))}
+    assert found == sure
+
+
 def test_quality_counts(docs):
     def brute(text):
         t = text or ""
