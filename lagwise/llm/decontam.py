@@ -13,7 +13,8 @@ item if the alignment matches at least SIMILARITY of the item's words.
 The test items are the query set: they go to the executors in blocks of at most BLOCK_WORDS
 words, one scan each, so what is broadcast is bounded whatever their number. The corpus is
 never shuffled; a hot passage is aligned once per task and text around it.
-Items longer than PIECE words are aligned in pieces, and one contaminated piece counts.
+Items longer than PIECE words are aligned in pieces of equal length (one word more or less),
+and one contaminated piece counts.
 
 Defined cases: items without a word match nothing; null texts hold nothing; null doc_ids are returned as null; repeated rows are
 judged each; repeated items give a row for each item_id; either table empty: empty result.
@@ -88,10 +89,10 @@ class Index:
     marks: dict[int, np.ndarray] = field(default_factory=dict)
 
     def add(self, item: int, w: np.ndarray) -> None:
-        for k in range(0, len(w), PIECE):
-            part = w[k : k + PIECE] if len(w) - k >= GRAM or not k else w[-GRAM:]
-            self.item.append(item)
-            self.words.append(part)
+        if len(w):
+            for part in np.array_split(w, -(-len(w) // PIECE)):
+                self.item.append(item)
+                self.words.append(part)
 
     def build(self) -> Index:
         """Fills grams."""

@@ -232,6 +232,19 @@ def test_seeds_miss_no_edited_copy():
     assert found == sure
 
 
+@pytest.mark.parametrize("n", [257, 266, 520])
+def test_no_tiny_piece_condemns(n):
+    w = np.arange(n).astype(np.uint64)
+    index = decontam.Index()
+    index.add(0, w)
+    assert (np.concatenate(index.words) == w).all() and all(decontam.PIECE // 2 <= len(x) <= decontam.PIECE for x in index.words)
+    item = [f"w{k}" for k in range(n)]
+    index = decontam.Index()
+    index.add(0, decontam.words(*decontam.lowered(pa.array([" ".join(item)])))[0])
+    texts = [" ".join(["clean", *item[-10:], "text"]), " ".join(item[-5:]), " ".join(["a", *item, "b"])]
+    assert [x[0] for x in decontam.Finder(index.build()).find(pa.array(texts))] == [2]
+
+
 def test_quality_counts(docs):
     def brute(text):
         t = text or ""
