@@ -10,7 +10,8 @@ from ..operators import pairs as P
 from . import discovery as D
 from .queries import monthly
 
-FAST = Config(min_observations=48, permutations=30, direction_permutations=30, max_lag=4, prescreen=0.08)
+#: The lags and permutations are the defaults; monthly series have about 80 places, fewer than the default least number.
+MONTHLY = Config(min_observations=48, prescreen=0.08)
 
 
 def _pairs(spark, sf_dir):
@@ -18,15 +19,15 @@ def _pairs(spark, sf_dir):
 
 
 def ksg_screen(spark, sf_dir):
-    return D.screen(_pairs(spark, sf_dir), FAST)
+    return D.screen(_pairs(spark, sf_dir), MONTHLY)
 
 
 def lag_profile(spark, sf_dir):
-    return D.by_pair(_pairs(spark, sf_dir), lambda x, y, _: (K.lag_profile(x, y, 4),), "profile array<double>", ([],))
+    return D.by_pair(_pairs(spark, sf_dir), lambda x, y, _: (K.lag_profile(x, y, MONTHLY.max_lag),), "profile array<double>", ([],))
 
 
 def lead_direction(spark, sf_dir):
-    return D.directed(_pairs(spark, sf_dir), FAST)
+    return D.directed(_pairs(spark, sf_dir), MONTHLY)
 
 
 def stationarity(spark, sf_dir):
@@ -34,7 +35,7 @@ def stationarity(spark, sf_dir):
 
 
 def granger_causality(spark, sf_dir):
-    return D.by_pair(_pairs(spark, sf_dir), lambda x, y, _: K.granger(x, y, 6), "direction string, lag int, p double", ("none", 1, 1.0))
+    return D.by_pair(_pairs(spark, sf_dir), lambda x, y, _: K.granger(x, y, MONTHLY.max_lag), "direction string, lag int, p double", ("none", 1, 1.0))
 
 
 def out_of_sample(spark, sf_dir):
@@ -46,7 +47,7 @@ def walk_forward(spark, sf_dir):
 
 
 def discovery(spark, sf_dir):
-    return D.discover(monthly(spark, sf_dir), FAST).select("rank", "x", "y", "direction", "lag", "mi", "direction_pvalue", "oos_r2", "score", "confidence")
+    return D.discover(monthly(spark, sf_dir), MONTHLY).select("rank", "x", "y", "direction", "lag", "mi", "direction_pvalue", "oos_r2", "score", "confidence")
 
 
 QUERIES = {f.__name__: f for f in (ksg_screen, lag_profile, lead_direction, stationarity, granger_causality, out_of_sample, walk_forward)}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import Config
 from ..operators import pairs as P
 from ..operators import ranking as R
 from ..operators import series as S
@@ -195,6 +196,12 @@ def spearman_prescreen(spark, sf_dir):
     return r6(P.prescreen(month_pairs(spark, sf_dir), 0.15, (0, 1, 3)), "best")
 
 
+@query("SELECT x, y, round(max(rho), 6) AS best FROM (" + " UNION ALL ".join([_lag_sql(0, "x", "y"), *[_lag_sql(k, a, b) for k in (1, 3, 6, 12) for a, b in (("x", "y"), ("y", "x"))]]) + ") GROUP BY 1, 2 HAVING max(rho) >= 0.15", PAIRS)
+def spearman_prescreen_all_lags(spark, sf_dir):
+    """As spearman_prescreen, with all lags of Config."""
+    return r6(P.prescreen(month_pairs(spark, sf_dir), 0.15, Config().prescreen_lags), "best")
+
+
 @query(
     """SELECT x, y, round(greatest(sum(p * ln(p / (px * py))), 0), 6) AS mi FROM (SELECT x, y, c / total AS p, sum(c) OVER (PARTITION BY x, y, bx) / total AS px, sum(c) OVER (PARTITION BY x, y, by_) / total AS py FROM
 (SELECT x, y, total, least(floor((xv - x0) / (x1 - x0) * 20), 19) AS bx, least(floor((yv - y0) / (y1 - y0) * 20), 19) AS by_, count(*)::DOUBLE AS c FROM pairs JOIN

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from lagwise.operators import pairs as P
 from lagwise.operators import ranking as R
 from lagwise.operators import series as S
-from lagwise.plans import queries
+from lagwise.plans import kernel_queries, queries
 from lagwise.sources import payloads as L
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +87,23 @@ def test_streamed_upsert(spark, tmp_path):
     obs(spark, u=[1, 2]).write.parquet(str(tmp_path / "in"))
     upsert_stream(observation_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert current(spark, str(tmp_path / "out")).count() == 2
+
+
+def test_kernel_queries_look_at_all_lags(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.standard_normal(80)
+    y = np.concatenate([r.standard_normal(8), x[:-8]]) + 0.2 * r.standard_normal(80)
+    pairs = P.aligned(obs(spark, x=x, y=y))
+    monkeypatch.setattr(kernel_queries, "_pairs", lambda *_: pairs)
+    led = kernel_queries.lead_direction(spark, SF).first()
+    assert led.direction in ("x->y", "bidirectional") and led.lag == 8 and round(led.direction_pvalue * 101, 6) == 1
+    profile = kernel_queries.lag_profile(spark, SF).first().profile
+    assert len(profile) == 12 and max(profile) == profile[7]
+    cause = kernel_queries.granger_causality(spark, SF).first()
+    assert cause.lag >= 8 and cause.direction in ("x->y", "bidirectional")
+    assert kernel_queries.MONTHLY.permutations == 200 and kernel_queries.ksg_screen(spark, SF).count() == 1
+
+
+def test_prescreen_of_all_lags_equals_sql(spark):
+    test_query_equals_sql(spark, "spearman_prescreen_all_lags")
+    assert "lag(xv, 12)" in queries.ORACLE["spearman_prescreen_all_lags"]
