@@ -42,7 +42,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("sequences", sequences)]
 
-#: Near-duplicate components, alignment and best-fit have no SQL; tests/llm compares run() with a brute-force version.
+#: Near-duplicate components, alignment and best-fit have no SQL; tests/llm compares run()'s doc_ids with the stages called one by one and looks for verbatim items.
 ORACLE_SQL = None
 
 
