@@ -18,7 +18,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .packed import NO_ID, Block, ascending, blocks
+from .packed import Block, ascending, blocks
 from .shared import crc_mod
 
 PROFILE, MAX_LANGS, SIZES = 400, 5_000, 3
@@ -173,8 +172,8 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], test_mod: int = 5,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             lang, score = nearest(b, profiles)
-            held = [zlib.crc32(b"" if i == NO_ID else str(i).encode()) % test_mod == test_rest for i in b.ids.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(b.ids, mask=b.ids == NO_ID), pa.array(held, pa.bool_()), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            held = b.remainders(test_mod) == test_rest
+            yield pa.RecordBatch.from_arrays([b.id_column(), pa.array(held, pa.bool_()), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
 

@@ -1,16 +1,25 @@
 """Blocks of documents as numpy arrays, and packets that carry sorted keys between blocks and buckets.
 
-A block is a few megabytes of neighbouring rows of one partition. Operators that need
-corpus-wide facts about very many small keys (n-grams, anchors) don't make a row per key:
-each block sends its distinct keys to hash buckets, packed as sorted, delta-coded binary,
-and each bucket answers in the order asked. Pre-aggregation within the block makes a hot
-key one entry per block. A block is named by a hash of its content, so a re-run of a lost
-task names it alike, and identical blocks simply share their answers.
+A block is a few megabytes of neighbouring rows of one partition; where blocks begin depends
+on the order and the texts of the rows alone, not on how they are batched, so two scans with
+different columns have equal blocks. Operators that need corpus-wide facts about very many
+small keys (n-grams, anchors) don't make a row per key: each block sends its distinct keys
+to buckets, packed as sorted, delta-coded binary, and each bucket answers in the order asked.
+Pre-aggregation within the block makes a hot key one entry per block. A block is named by a
+hash of its content, so a re-run of a lost task names it alike, and identical blocks simply
+share their answers.
+
+An exchange is linear in its input: a block sends at most `fan` packets of a kind, whatever
+the number of buckets. Where more buckets than that are needed, packets of one key range from
+a group of blocks meet at a node, which merges their keys and asks `fan` narrower ranges in
+turn; answers come back the same way. Nodes of every level are as many as buckets, and each
+hop costs one more shuffle of the keys that are left after merging (see Route).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,15 +27,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark.sql import DataFrame
 
-BLOCK_BYTES = 4 << 20
+from .shared import cut
+
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
 PACKET = "dst long, src long, kind int, a binary, b binary"
 SCHEMA = pa.schema([("dst", pa.int64()), ("src", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 #: Kinds of packets that every exchange knows; operators number theirs from 10.
 DOCS, ROWS = 0, 1
-#: Stands for a null id: after every other id.
+#: Fills the place of a null id; which ids are null is always held beside.
 NO_ID = np.int64(2**63 - 1)
 U64 = np.uint64
+#: Kinds of answers are those of what was asked, and this.
+ANSWER = 1 << 16
 
 
 def signed(x: int) -> int:
@@ -35,15 +49,17 @@ def signed(x: int) -> int:
 
 @dataclass
 class Block:
-    """ids: doc ids (NO_ID for null); data: UTF-8 bytes of all texts; off: where each begins, and the end."""
+    """ids: doc ids; none: which are null; data: UTF-8 bytes of all texts; off: where each begins, and the end."""
 
     ids: np.ndarray
+    none: np.ndarray
     data: np.ndarray
     off: np.ndarray
 
     @property
     def name(self) -> int:
         h = xxhash.xxh3_64(self.ids.tobytes())
+        h.update(self.none.tobytes())
         h.update(self.off.tobytes())
         h.update(np.ascontiguousarray(self.data).data)
         return signed(h.intdigest())
@@ -52,16 +68,23 @@ class Block:
         """The document (index) that holds each byte position."""
         return np.searchsorted(self.off, at, "right") - 1
 
+    def id_column(self) -> pa.Array:
+        return pa.array(self.ids, pa.int64(), mask=self.none)
+
+    def remainders(self, mod: int) -> np.ndarray:
+        """crc32 of each id as text, mod `mod`; a null id counts as the empty text."""
+        return np.array([zlib.crc32(b"" if n else str(i).encode()) % mod for i, n in zip(self.ids.tolist(), self.none.tolist())], np.int64)
+
     def pack(self) -> tuple[bytes, bytes]:
-        head = np.concatenate([[len(self.ids)], self.ids, self.off]).astype(np.int64).tobytes()
+        head = np.concatenate([[len(self.ids)], self.ids, self.none, self.off]).astype(np.int64).tobytes()
         return squeeze(head), zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(self.data).data)
 
     @staticmethod
     def unpack(a: bytes, b: bytes) -> Block:
         head = np.frombuffer(unsqueeze(a), np.int64)
         n = int(head[0])
-        off = head[1 + n :]
-        return Block(head[1 : 1 + n], np.frombuffer(unsqueeze(b), np.uint8) if off[-1] else np.zeros(0, np.uint8), off)
+        off = head[1 + 2 * n :]
+        return Block(head[1 : 1 + n], head[1 + n : 1 + 2 * n].astype(bool), np.frombuffer(unsqueeze(b), np.uint8) if off[-1] else np.zeros(0, np.uint8), off)
 
 
 def squeeze(x: bytes) -> bytes:
@@ -104,8 +127,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def id_array(column: pa.Array) -> np.ndarray:
-    return pc.fill_null(column.cast(pa.int64()), int(NO_ID)).to_numpy(zero_copy_only=False)
+def id_array(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and which are null."""
+    return pc.fill_null(column.cast(pa.int64()), int(NO_ID)).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -114,17 +138,31 @@ def blocks(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
         yield block
 
 
-def blocks_with_rows(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[tuple[Block, pa.RecordBatch]]:
-    """Blocks, each with its rows as they came."""
+def blocks_with_rows(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[tuple[Block, pa.Table]]:
+    """Blocks, each with its rows as they came. A block ends before the row that would take it over `most` bytes."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]] = []
+    size = rows = 0
+
+    def joined_block() -> tuple[Block, pa.Table]:
+        ids, none, data, lens, parts = zip(*held)
+        block = Block(np.concatenate(ids), np.concatenate(none), np.concatenate(data), np.concatenate([[0], np.cumsum(np.concatenate(lens))]))
+        return block, pa.Table.from_batches(parts)
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, (data, off) = id_array(batch.column("doc_id")), text_bytes(batch.column("text"))
+        ids, none = id_array(batch.column("doc_id"))
+        data, off = text_bytes(batch.column("text"))
         at = 0
         while at < len(ids):
-            to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
-            yield Block(ids[at:to], data[off[at] : off[to]], off[at : to + 1] - off[at]), batch.slice(at, to - at)
-            at = to
+            to = min(int(np.searchsorted(off, off[at] + most - size, "right")) - 1, at + BLOCK_ROWS - rows, len(ids))
+            if to <= at and held:
+                yield joined_block()
+                held, size, rows = [], 0, 0
+                continue
+            to = max(to, at + 1)
+            held.append((ids[at:to], none[at:to], data[off[at] : off[to]], np.diff(off[at : to + 1]), batch.slice(at, to - at)))
+            size, rows, at = size + int(off[to] - off[at]), rows + to - at, to
+    if held:
+        yield joined_block()
 
 
 def packets(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
@@ -144,7 +182,7 @@ def send_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = rows.drop_columns(["text"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rest.schema) as out:
-            out.write_batch(rest)
+            out.write_table(rest)
         yield packets([(b.name, 0, DOCS, *b.pack()), (b.name, 0, ROWS, squeeze(sink.getvalue().to_pybytes()), b"")])
 
 
@@ -152,14 +190,6 @@ def rows_sent(packet: dict) -> pa.Table:
     return pa.ipc.open_stream(unsqueeze(packet["a"])).read_all()
 
 
-def split_by_bucket(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of ascending keys; buckets are equal ranges of the 64-bit key space."""
-    width = (1 << 64) // n_buckets + 1
-    edges = np.array([k * width for k in range(1, n_buckets)], U64)
-    cuts = np.concatenate([[0], np.searchsorted(keys, edges, "left"), [len(keys)]])
-    return [(k, int(cuts[k]), int(cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts))]
-
-
 def ascending(x: np.ndarray) -> np.ndarray:
     """The distinct values of x, ascending."""
     x = np.sort(x)
@@ -177,33 +207,176 @@ def sum_by_key(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ordered[starts], np.add.reduceat(vals[order], starts) if len(keys) else vals, number
 
 
-def ask_totals(name: int, kind: int, keys: np.ndarray, vals: np.ndarray, n_buckets: int, asked: list) -> None:
-    """Adds packets that ask for the totals of ascending distinct keys; vals: what this block adds to them."""
-    for k, a, b in split_by_bucket(keys, n_buckets):
-        asked.append((kind * (1 << 32) + k, name, kind, pack_sorted(keys[a:b]), pack_ints(vals[a:b].astype(np.uint32))))
-
-
-def totals(table: pa.Table) -> tuple[list[tuple[int, int, np.ndarray]], np.ndarray, np.ndarray]:
-    """For one bucket's packets: (block, bucket, totals in the order asked), and all distinct keys with totals."""
-    rows = table.to_pylist()
-    keys = [unpack_sorted(r["a"]) for r in rows]
-    vals = [unpack_ints(r["b"]).astype(np.int64) for r in rows]
-    distinct, total, number = sum_by_key(np.concatenate(keys), np.concatenate(vals))
-    out, at = [], 0
-    for r, k in zip(rows, keys):
-        out.append((r["src"], r["dst"] & 0xFFFFFFFF, total[number[at : at + len(k)]]))
-        at += len(k)
-    return out, distinct, total
-
-
-def joined(rows: list[dict], kind: int, read: Callable[[dict], np.ndarray], expect: int | None = None) -> np.ndarray:
-    """A block's answers of a kind, in bucket order; identical blocks get each answer more than once."""
-    by = {r["src"]: r for r in rows if r["kind"] == kind}
-    out = [read(by[k]) for k in sorted(by)]
-    whole = np.concatenate(out) if out else np.zeros(0, np.int64)
-    if expect is not None and len(whole) != expect:
-        raise RuntimeError(f"a block asked for {expect} keys and got {len(whole)} answers: the input was read in another order")
-    return whole
+@dataclass(frozen=True)
+class Route:
+    """How an exchange is dealt: each hop splits a key range into 2**bits, the last hop ends at buckets."""
+
+    hops: int
+    bits: int = 7
+
+    @staticmethod
+    def for_size(size: int, share: int = 16 << 20, bits: int = 7) -> Route:
+        """As many hops as keep a bucket's share of `size` bytes of text near `share` at most."""
+        hops = 1
+        while (share << (bits * hops)) < size and hops < 4:
+            hops += 1
+        return Route(hops, bits)
+
+    def send(self, fold: Fold, name: int, level: int, cols: tuple[np.ndarray, ...], out: list) -> None:
+        """Adds packets by which `name` asks the nodes of a level about cols (cols[0]: ascending keys)."""
+        if not len(cols[0]):
+            return
+        path = cols[0] >> U64(64 - self.bits * level)
+        starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+        group = int(mix(np.array([name & (2**64 - 1)], U64))[0]) % (1 << (self.bits * (self.hops - level)))
+        for i, j, p in zip(starts.tolist(), [*starts[1:].tolist(), len(path)], path[starts].tolist()):
+            out.append(((fold.kind << 57) | (level << 54) | (p << 24) | group, name, fold.kind, *fold.pack(tuple(c[i:j] for c in cols))))
+
+
+class Fold:
+    """What is asked about keys of one kind, how equal keys merge, and what is answered."""
+
+    kind: int
+    #: Numbers in each entry of an answer.
+    width = 1
+
+    def pack(self, cols: tuple[np.ndarray, ...]) -> tuple[bytes, bytes]:
+        raise NotImplementedError
+
+    def unpack(self, a: bytes, b: bytes) -> tuple[np.ndarray, ...]:
+        raise NotImplementedError
+
+    def merge(self, cols: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """Distinct entries ascending by key, and the number of each entry's."""
+        raise NotImplementedError
+
+    def solve(self, cols: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """One or two arrays with an answer to each distinct entry."""
+        raise NotImplementedError
+
+    def extra(self, cols: tuple[np.ndarray, ...]) -> list[tuple[int, int, int, bytes, bytes]]:
+        """Further packets of a bucket."""
+        return []
+
+    def merged(self, rows: list[dict]):
+        """(distinct entries, for each row the numbers of its own)."""
+        parts = [self.unpack(r["a"], r["b"]) for r in rows]
+        cols, number = self.merge(tuple(np.concatenate(c) for c in zip(*parts)))
+        ends = np.cumsum([len(p[0]) for p in parts])
+        return cols, [number[e - len(p[0]) : e] for p, e in zip(parts, ends.tolist())]
+
+    def reply(self, row: dict, answer: tuple[np.ndarray, ...], own: np.ndarray) -> tuple[int, int, int, bytes, bytes]:
+        a, b = (pack_ints(np.ascontiguousarray(x[own].T).ravel()) for x in (*answer, np.zeros(len(answer[0]), np.uint8))[:2])
+        return row["src"], row["dst"], self.kind + ANSWER, a, b
+
+    def answers(self, rows: list[dict], expect: int) -> tuple[np.ndarray, np.ndarray]:
+        """The two arrays of answers to `expect` entries; identical blocks get each packet more than once."""
+        by = {r["src"]: r for r in rows if r["kind"] == self.kind + ANSWER}
+        parts = [[unpack_ints(by[k][c]) for k in sorted(by)] for c in "ab"]
+        shaped = [np.concatenate([x.reshape(self.width, -1).T if self.width > 1 and x.size else x for x in p]) if p else np.zeros((0, self.width) if self.width > 1 else 0, np.int64) for p in parts]
+        if len(shaped[0]) != expect:
+            raise RuntimeError(f"asked for {expect} keys and got {len(shaped[0])} answers: the input was read in another order")
+        return shaped[0], shaped[1]
+
+
+class Totals(Fold):
+    """(keys, what the asker adds to each): answers with totals."""
+
+    def __init__(self, kind: int):
+        self.kind = kind
+
+    def pack(self, cols):
+        keys, vals = cols
+        small = vals.astype(np.uint32) if len(vals) and int(vals.max()) < 2**32 else vals.astype(np.uint64)
+        return pack_sorted(keys), pack_ints(small)
+
+    def unpack(self, a, b):
+        return unpack_sorted(a), unpack_ints(b).astype(np.int64)
+
+    def merge(self, cols):
+        keys, sums, number = sum_by_key(*cols)
+        return (keys, sums), number
+
+    def solve(self, cols):
+        total = cols[1]
+        return (total.astype(np.uint32) if total.max() < 2**32 else total,)
+
+
+class LeastId(Fold):
+    """(one, two, none, ids): answers with the least id of each pair of hashes, and whether there are only null ids."""
+
+    def __init__(self, kind: int):
+        self.kind = kind
+
+    def pack(self, cols):
+        one, two, none, ids = cols
+        return pack_sorted(one), squeeze(two.tobytes() + ids.tobytes() + none.tobytes())
+
+    def unpack(self, a, b):
+        one, rest = unpack_sorted(a), unsqueeze(b)
+        n = len(one)
+        return one, np.frombuffer(rest, U64, n), np.frombuffer(rest, bool, n, 16 * n), np.frombuffer(rest, np.int64, n, 8 * n)
+
+    def merge(self, cols):
+        one, two, none, ids = cols
+        order = np.lexsort((two, one))
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])) if len(one) else np.zeros(0, np.int64)
+        number = np.empty(len(one), np.int64)
+        number[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(one))))
+        if not len(one):
+            return cols, number
+        first = order[starts]
+        return (one[first], two[first], np.logical_and.reduceat(none[order], starts), np.minimum.reduceat(np.where(none, NO_ID, ids)[order], starts)), number
+
+    def solve(self, cols):
+        return cols[3], cols[2].astype(np.uint8)
+
+
+def _forward(folds: dict[int, Fold], route: Route, level: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows, out = table.to_pylist(), []
+        fold = folds[rows[0]["kind"]]
+        route.send(fold, rows[0]["dst"], level + 1, fold.merged(rows)[0], out)
+        return pa.Table.from_batches([packets(out)])
+
+    return run
+
+
+def _final(folds: dict[int, Fold]):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        fold = folds[rows[0]["kind"]]
+        cols, own = fold.merged(rows)
+        answer = fold.solve(cols)
+        return pa.Table.from_batches([packets([fold.reply(r, answer, o) for r, o in zip(rows, own)] + fold.extra(cols))])
+
+    return run
+
+
+def _back(folds: dict[int, Fold]):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        asked = [r for r in rows if r["kind"] < ANSWER]
+        if not asked or asked[0]["kind"] not in folds:
+            return table
+        fold = folds[asked[0]["kind"]]
+        cols, own = fold.merged(asked)
+        answer = fold.answers(rows, len(cols[0]))
+        return pa.Table.from_batches([packets([fold.reply(r, answer, o) for r, o in zip(asked, own)])])
+
+    return run
+
+
+def resolve(asked: DataFrame, folds: list[Fold], route: Route, label: str) -> DataFrame:
+    """Answers (a written table) to packets sent with route.send at level 1."""
+    by = {f.kind: f for f in folds}
+    down = [asked if route.hops == 1 else cut(asked, label)]
+    for level in range(1, route.hops):
+        down.append(cut(down[-1].groupBy("dst").applyInArrow(_forward(by, route, level), PACKET), label))
+    up = cut(down[-1].groupBy("dst").applyInArrow(_final(by), PACKET), label)
+    for level in range(route.hops - 1, 0, -1):
+        up = cut(down[level - 1].unionAll(up).groupBy("dst").applyInArrow(_back(by), PACKET), label)
+    return up
 
 
 # Hashing of words: vectorised over all bytes of a block.

@@ -13,13 +13,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) a local one is made."""
+    """The folder all executors share. Only on a local master (tests) one is made where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = "file://" + tempfile.mkdtemp(prefix="lagwise-")
             spark.sparkContext.setCheckpointDir(found)
     return found
@@ -59,9 +61,9 @@ def plan_bytes(df: DataFrame) -> int:
     return min(total, 1 << 60)
 
 
-def buckets_for(df: DataFrame, each: int = 4 << 20, least: int = 16, most: int = 1 << 16) -> int:
-    """How many hash buckets keep one bucket's share of df near `each` bytes."""
-    return max(least, min(most, plan_bytes(df) // each + 1))
+def text_size(df: DataFrame, expand: int = 4) -> int:
+    """A guess at df's bytes once decompressed; only steers how an exchange is dealt, never what is kept."""
+    return plan_bytes(df) * expand
 
 
 def words_of(text: Column) -> Column:

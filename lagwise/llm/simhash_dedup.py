@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packed import NO_ID, blocks, text_bytes
+from .packed import blocks, text_bytes
 from .shared import cut
 
 SHINGLE, SEED, BITS, BYTES = 3, 42, 2, 8
@@ -69,7 +69,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in blocks(batches):
         raw = b.data.tobytes()
         fp = fingerprints_of([raw[i:j] for i, j in zip(b.off[:-1].tolist(), b.off[1:].tolist())])
-        yield pa.RecordBatch.from_arrays([pa.array(b.ids, mask=b.ids == NO_ID), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.id_column(), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

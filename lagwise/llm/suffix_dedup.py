@@ -20,13 +20,17 @@ Suffix arrays of everything together would need everything in one place, so:
 
 A passage in a third of all documents is one context per block and a handful per bucket; at
 its edges, where every document goes on otherwise, contexts differ. So the strings of anchors
-in HOT texts or more go to buckets of their own hash, one by one, and no bucket meets more
-than a fixed number of contexts of one anchor. Nothing is capped: every shared string is found. Cores are compared by 128 bits of hash,
-everything else byte by byte.
-
-Defined cases: null text is empty; texts under LENGTH bytes lose nothing; a null doc_id
-counts as larger than all others and is returned as null; rows with the same doc_id aren't
-smaller than one another; an empty table gives an empty result.
+with HOT places or more go to buckets of their own hash, one by one, and no bucket meets more
+than HOT contexts of one anchor. Nothing is capped: every shared string is found. Cores are
+compared by 128 bits of hash, everything else byte by byte. Anchors are least hashes, so they
+are hashed once more before buckets are chosen, which spreads them evenly.
+
+Defined cases: null text is empty; texts under LENGTH bytes lose nothing; a text of any length
+is worked on whole, in chunks of CHUNK bytes while anchors are sought; a null doc_id counts as
+larger than all others and is returned as null, and null ids aren't smaller than one another;
+nor are rows with the same doc_id (all of them lose what a smaller id has); repeated rows are
+returned each; an empty table gives an empty result. Columns other than doc_id and text, of any
+name, are ignored by dedup and come back unchanged from strip, but for n_chars.
 """
 
 from __future__ import annotations
@@ -41,8 +45,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .packed import BYTE, DOCS, NO_ID, PACKET, ROWS, U64, Block, ascending, ask_totals, blocks, joined, mix, pack_ints, pack_sorted, packets, rows_sent, send_docs, send_rows, split_by_bucket, squeeze, sum_by_key, totals, unpack_ints, unpack_sorted, unsqueeze
-from .shared import buckets_for, cut, stable
+from .packed import BYTE, DOCS, NO_ID, PACKET, ROWS, U64, Block, Fold, LeastId, Route, Totals, ascending, blocks, mix, pack_sorted, packets, resolve, rows_sent, send_docs, send_rows, squeeze, sum_by_key, unpack_sorted, unsqueeze
+from .shared import stable, text_size
 from .suffix_array import suffix_array
 
 LENGTH, CORE = 50, 32
@@ -50,7 +54,7 @@ LENGTH, CORE = 50, 32
 PLACES = LENGTH - CORE + 1
 REACH = PLACES - 1
 ANCHORS, CLASSES, CONTEXTS, STRINGS = 10, 11, 12, 13
-#: Anchors in this many texts or more are too common to meet in one bucket: their strings are sent one by one.
+#: Anchors with this many places or more are too common to meet in one bucket: their strings are sent one by one.
 HOT = 2048
 #: Symbols sorted at a time: whole anchors, so a little more where one has many contexts.
 SORTED = 1 << 17
@@ -97,7 +101,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not at:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     pos, first = np.unique(np.concatenate(at), return_index=True)
-    h = np.concatenate(hashes)[first]
+    h = mix(np.concatenate(hashes)[first])  # least hashes lie close together: spread them
     doc = np.searchsorted(off, pos, "right") - 1
     inside = pos + CORE <= off[doc + 1]
     return pos[inside], h[inside]
@@ -110,79 +114,63 @@ def _texts(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in cuts], U64), np.array([xxhash.xxh3_64_intdigest(raw[i:j], 1) for i, j in cuts], U64)
 
 
-def _classes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's distinct texts, ascending by hash: hash, second hash, least id; and each document's class."""
+def _classes(block: Block) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """A block's distinct texts as LeastId asks about them, and each document's class."""
     one, two = _texts(block)
-    order = np.lexsort((block.ids, two, one))
-    new = np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    first = order[new]
-    return one[first], two[first], block.ids[first], of
+    return LeastId(CLASSES).merge((one, two, block.none, block.ids))
+
+
+class Anchors(Totals):
+    """Totals of texts (low half) and places (high half), each clipped where it no longer matters; answers 0: one text, 1: several, 2: hot."""
+
+    def __init__(self, hot: int):
+        super().__init__(ANCHORS)
+        self.hot = hot
+
+    def merge(self, cols):
+        (keys, sums), number = super().merge(cols)
+        return (keys, np.minimum(sums & 0xFFFFFFFF, 2) | np.minimum(sums >> 32, self.hot) << 32), number
 
+    def solve(self, cols):
+        several = (cols[1] & 0xFFFFFFFF) > 1
+        return (several.astype(np.uint8) + (several & (cols[1] >> 32 >= self.hot)),)
 
-def _ask(n_buckets: int):
+
+def _ask(route: Route, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             name, asked = b.name, []
-            one, two, ids, of = _classes(b)
-            for k, i, j in split_by_bucket(one, n_buckets):
-                asked.append((CLASSES * (1 << 32) + k, name, CLASSES, pack_sorted(one[i:j]), squeeze(two[i:j].tobytes() + ids[i:j].tobytes())))
-            keys, texts = _anchor_keys(b, of)
-            ask_totals(name, ANCHORS, keys, texts, n_buckets, asked)
+            distinct_texts, of = _classes(b)
+            route.send(LeastId(CLASSES), name, 1, distinct_texts, asked)
+            keys, counts, _, _ = _anchor_keys(b, of)
+            route.send(Anchors(hot), name, 1, Anchors(hot).merge((keys, counts))[0], asked)
             yield packets(asked)
 
     return run
 
 
-def _anchor_keys(block: Block, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchor hashes, ascending, and in how many of the block's distinct texts each is."""
+def _anchor_keys(block: Block, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchors, ascending by hash; in how many of the block's distinct texts (low half) and places (high half) each is; all places; their anchors."""
     pos, h = anchors(block.data, block.off)
-    keys, _, number = sum_by_key(h, np.ones(len(h), np.int64))
+    keys, places, number = sum_by_key(h, np.ones(len(h), np.int64))
     pairs = ascending(number * len(of) + of[block.doc_of(pos)])
-    return keys, np.bincount(pairs // max(1, len(of)), minlength=len(keys))
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    kind = table.column("kind")[0].as_py()
-    if kind == ANCHORS:
-        answers, _, _ = totals(table)
-        out = [(block, bucket, ANCHORS, pack_ints((t > 1).astype(np.uint8) + (t >= HOT)), b"") for block, bucket, t in answers]
-        return pa.Table.from_batches([packets(out)])
-    return _least_id(table.to_pylist(), kind)
-
-
-def _least_id(rows: list[dict], kind: int) -> pa.Table:
-    """The least id of each pair of hashes asked for."""
-    one = [unpack_sorted(r["a"]) for r in rows]
-    rest = [np.frombuffer(unsqueeze(r["b"]), np.int64) for r in rows]
-    two, ids = np.concatenate([x[: len(x) // 2] for x in rest]), np.concatenate([x[len(x) // 2 :] for x in rest])
-    order = np.lexsort((ids, two, np.concatenate(one)))
-    key = np.concatenate(one)[order]
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(two[order]) != 0)]))
-    least = np.empty(len(ids), np.int64)
-    least[order] = np.repeat(ids[order][starts], np.diff(np.append(starts, len(ids))))
-    out, at = [], 0
-    for r, o in zip(rows, one):
-        out.append((r["src"], r["dst"] & 0xFFFFFFFF, kind, pack_ints(least[at : at + len(o)]), b""))
-        at += len(o)
-    return pa.Table.from_batches([packets(out)])
+    return keys, np.bincount(pairs // max(1, len(of)), minlength=len(keys)) | places << 32, pos, number
 
 
 class Contexts:
     """The distinct contexts of a block's shared anchors, ascending by anchor, and where they occur."""
 
     def __init__(self, block: Block, rows: list[dict]):
-        *_, of = _classes(block)
-        self.least = joined(rows, CLASSES, lambda r: unpack_ints(r["a"]), int(of.max()) + 1 if len(of) else 0)[of]
-        keys, _ = _anchor_keys(block, of)
-        shared = joined(rows, ANCHORS, lambda r: unpack_ints(r["a"]), len(keys))
-        pos, h = anchors(block.data, block.off)
+        texts, of = _classes(block)
+        self.least, self.least_none = (x[of] for x in LeastId(CLASSES).answers(rows, len(texts[0])))
+        keys, _, pos, number = _anchor_keys(block, of)
+        shared, _ = Anchors(0).answers(rows, len(keys))
         doc = block.doc_of(pos)
         # copies are decided already; of equal texts with equal ids one is enough, but all are marked
-        often = np.where(block.ids[doc] == self.least[doc], shared[np.searchsorted(keys, h)], 0) if len(h) else np.zeros(0, np.uint8)
+        first = (block.none[doc] & (self.least_none[doc] > 0)) | (~block.none[doc] & (block.ids[doc] == self.least[doc]))
+        often = np.where(first, shared[number], 0) if len(pos) else np.zeros(0, np.uint8)
         self._strings(block, pos[often == 2], doc[often == 2])
-        pos, h, doc = pos[often == 1], h[often == 1], doc[often == 1]
+        h, pos, doc = keys[number][often == 1], pos[often == 1], doc[often == 1]
         before, after = np.minimum(REACH, pos - block.off[doc]), np.minimum(REACH, block.off[doc + 1] - pos - CORE)
         around = np.concatenate([np.arange(-REACH, 0), np.arange(CORE, CORE + REACH)])
         where = pos[:, None] + around[None, :]
@@ -191,7 +179,7 @@ class Contexts:
         raw = np.ascontiguousarray(block.data).data
         check = np.array([xxhash.xxh3_64_intdigest(raw[p : p + CORE]) for p in pos.tolist()], U64)
         self.pos, self.doc = pos, doc
-        self.key, self.check, self.body, self.sides, self.ids, self.of = distinct(h, check, body, np.stack([before, after], 1).astype(np.uint8), block.ids[doc])
+        self.contexts, self.of = distinct(h, check, body, np.stack([before, after], 1).astype(np.uint8), block.none[doc], block.ids[doc])
 
     def _strings(self, block: Block, pos: np.ndarray, doc: np.ndarray) -> None:
         """The distinct strings of very common anchors: two hashes, least id; where each occurrence starts."""
@@ -203,15 +191,7 @@ class Contexts:
         raw = np.ascontiguousarray(block.data).data
         one = np.array([xxhash.xxh3_64_intdigest(raw[p : p + LENGTH]) for p in self.start.tolist()], U64)
         two = np.array([xxhash.xxh3_64_intdigest(raw[p : p + LENGTH], 1) for p in self.start.tolist()], U64)
-        ids = block.ids[self.start_doc]
-        order = np.lexsort((ids, two, one))
-        new = np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)]) if len(order) else np.zeros(0, bool)
-        self.string_of = np.empty(len(order), np.int64)
-        self.string_of[order] = np.cumsum(new) - 1
-        self.one, self.two, self.string_ids = one[order][new], two[order][new], ids[order][new]
-
-    def valid(self) -> np.ndarray:
-        return valid(self.sides)
+        self.strings, self.string_of = LeastId(STRINGS).merge((one, two, block.none[self.start_doc], block.ids[self.start_doc]))
 
 
 def valid(sides: np.ndarray) -> np.ndarray:
@@ -220,15 +200,15 @@ def valid(sides: np.ndarray) -> np.ndarray:
     return (place >= REACH - sides[:, :1].astype(np.int64)) & (place <= sides[:, 1:].astype(np.int64))
 
 
-def distinct(key, check, body, sides, ids):
-    """Distinct contexts ascending by key, the least id of each, and each entry's context."""
+def distinct(key, check, body, sides, none, ids):
+    """Distinct contexts ascending by key, the least id of each (none: there are only null ones), and each entry's context."""
     n = len(key)
     if not n:
-        return key, check, body, sides, ids, np.zeros(0, np.int64)
+        return (key, check, body, sides, none, ids), np.zeros(0, np.int64)
     powers = np.cumprod(np.full(2 * REACH + 2, BASE, np.uint64), dtype=np.uint64)
     parts = [(np.concatenate([body[k : k + SLICE], sides[k : k + SLICE]], 1) * powers).sum(1, dtype=np.uint64) for k in range(0, n, SLICE)]
     print_ = mix(np.concatenate(parts) + mix(check))
-    order = np.lexsort((ids, print_, key))
+    order = np.lexsort((print_, key))
     k, p = key[order], print_[order]
     starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])]))
     of = np.empty(n, np.int64)
@@ -236,32 +216,58 @@ def distinct(key, check, body, sides, ids):
     first = order[starts]
     if not ((check == check[first][of]).all() and (body == body[first][of]).all() and (sides == sides[first][of]).all()):
         raise RuntimeError("two contexts have the same 128-bit hash")
-    return key[first], check[first], body[first], sides[first], ids[first], of
+    least = np.minimum.reduceat(np.where(none, NO_ID, ids)[order], starts)
+    return (key[first], check[first], body[first], sides[first], np.logical_and.reduceat(none[order], starts), least), of
 
 
-def _ask_contexts(n_buckets: int):
+class Shared(Fold):
+    """Contexts (key, check, body, sides, none, ids): answers with the least id of each of their PLACES strings, and whether there are only null ids."""
+
+    kind, width = CONTEXTS, PLACES
+
+    def pack(self, cols):
+        key, check, body, sides, none, ids = cols
+        return pack_sorted(key), squeeze(b"".join([check.tobytes(), ids.tobytes(), none.tobytes(), np.ascontiguousarray(sides).tobytes(), np.ascontiguousarray(body).tobytes()]))
+
+    def unpack(self, a, b):
+        key, raw = unpack_sorted(a), unsqueeze(b)
+        n = len(key)
+        sides = np.frombuffer(raw, np.uint8, 2 * n, 17 * n).reshape(n, 2)
+        body = np.frombuffer(raw, np.uint8, 2 * REACH * n, 19 * n).reshape(n, 2 * REACH)
+        return key, np.frombuffer(raw, np.uint64, n), body, sides, np.frombuffer(raw, bool, n, 16 * n), np.frombuffer(raw, np.int64, n, 8 * n)
+
+    def merge(self, cols):
+        return distinct(*cols)
+
+    def solve(self, cols):
+        key, n = cols[0], len(cols[0])
+        least, none = np.repeat(cols[5][:, None], PLACES, 1), np.repeat(cols[4][:, None], PLACES, 1).astype(np.uint8)
+        # whole anchors at a time
+        new = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), n)
+        ends = np.unique(np.append(new[np.searchsorted(new, np.arange(0, n, SLICE))], n))
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            least[i:j], none[i:j] = least_ids(*(x[i:j] for x in cols))
+        return least, none
+
+
+def _ask_contexts(route: Route):
     def run(table: pa.Table) -> pa.Table:
         rows, out = table.to_pylist(), []
         for d in [r for r in rows if r["kind"] == DOCS][:1]:
-            block = Block.unpack(d["a"], d["b"])
-            c = Contexts(block, rows)
-            for k, i, j in split_by_bucket(c.key, n_buckets):
-                parts = [x[i:j].tobytes() for x in (c.check, c.ids, c.sides)]
-                body = np.ascontiguousarray(c.body[i:j])
-                out.append((k, d["dst"], CONTEXTS, pack_sorted(c.key[i:j]), squeeze(b"".join([*parts, body.tobytes()]))))
-            for k, i, j in split_by_bucket(c.one, n_buckets):
-                out.append((STRINGS * (1 << 32) + k, d["dst"], STRINGS, pack_sorted(c.one[i:j]), squeeze(c.two[i:j].tobytes() + c.string_ids[i:j].tobytes())))
+            c = Contexts(Block.unpack(d["a"], d["b"]), rows)
+            route.send(Shared(), d["dst"], 1, c.contexts, out)
+            route.send(LeastId(STRINGS), d["dst"], 1, c.strings, out)
         return pa.Table.from_batches([packets(out)])
 
     return run
 
 
-def least_ids(key, check, body, sides, ids) -> np.ndarray:
-    """For distinct contexts ascending by key, the least id that has each of their PLACES strings."""
+def least_ids(key, check, body, sides, none, ids) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct contexts ascending by key, the least id that has each of their PLACES strings, and whether only null ids have it."""
     n = len(key)
-    least = np.repeat(ids[:, None], PLACES, 1)
+    least, only_none = np.repeat(ids[:, None], PLACES, 1), np.repeat(none[:, None], PLACES, 1)
     if n < 2:
-        return least
+        return least, only_none
     core = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1])]))
     # a key whose cores differ after all is told apart by the second hash
     order = np.lexsort((check, core))
@@ -278,7 +284,7 @@ def least_ids(key, check, body, sides, ids) -> np.ndarray:
     common[ok] = count[number] > 1
     some = np.flatnonzero(common.any(1))
     if not len(some):
-        return least
+        return least, only_none
     for part in np.array_split(some, max(1, len(some) * (2 * REACH + 2) // SORTED)) if len(some) else []:
         part = _whole_groups(part, some, group)
         if not len(part):
@@ -294,9 +300,10 @@ def least_ids(key, check, body, sides, ids) -> np.ndarray:
         row, col = row[use], col[use]
         string = rows[row[:, None], col[:, None] + np.arange(PLACES)[None, :]]
         starts = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]).any(1)]))
-        low = np.minimum.reduceat(ids[part][row], starts)
-        least[part[row], col] = np.repeat(low, np.diff(np.append(starts, len(row))))
-    return least
+        size = np.diff(np.append(starts, len(row)))
+        least[part[row], col] = np.repeat(np.minimum.reduceat(ids[part][row], starts), size)
+        only_none[part[row], col] = np.repeat(np.logical_and.reduceat(none[part][row], starts), size)
+    return least, only_none
 
 
 def _whole_groups(part: np.ndarray, some: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -309,32 +316,6 @@ def _whole_groups(part: np.ndarray, some: np.ndarray, group: np.ndarray) -> np.n
     return np.sort(ranked[(begins >= lo) & (begins < hi)])
 
 
-def _answer_contexts(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    if rows[0]["kind"] == STRINGS:
-        return _least_id(rows, STRINGS)
-    keys = [unpack_sorted(r["a"]) for r in rows]
-    checks, ids, sides, bodies = [], [], [], []
-    for r, k in zip(rows, keys):
-        raw, n = unsqueeze(r["b"]), len(k)
-        checks.append(np.frombuffer(raw, np.uint64, n))
-        ids.append(np.frombuffer(raw, np.int64, n, 8 * n))
-        sides.append(np.frombuffer(raw, np.uint8, 2 * n, 16 * n).reshape(n, 2))
-        bodies.append(np.frombuffer(raw, np.uint8, 2 * REACH * n, 18 * n).reshape(n, 2 * REACH))
-    *whole, of = distinct(np.concatenate(keys), np.concatenate(checks), np.concatenate(bodies), np.concatenate(sides), np.concatenate(ids))
-    least = np.repeat(whole[-1][:, None], PLACES, 1)
-    new = np.flatnonzero(np.concatenate([[True], whole[0][1:] != whole[0][:-1]]))
-    ends = np.unique(np.concatenate([new[np.searchsorted(new, np.arange(0, len(whole[0]), SLICE))[1:].clip(max=len(new) - 1)], [0, len(whole[0])]]))
-    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        least[i:j] = least_ids(*(x[i:j] for x in whole))
-    out, at = [], 0
-    for r, k in zip(rows, keys):
-        mine = least[of[at : at + len(k)]]
-        out.append((r["src"], r["dst"], CONTEXTS, pack_ints(np.ascontiguousarray(mine.T).ravel()), b""))
-        at += len(k)
-    return pa.Table.from_batches([packets(out)])
-
-
 def _remove(full: bool, schema: pa.Schema | None = None):
     """schema: that of the documents, where their own rows with what is left of their texts are wanted."""
     names = [x.strip().split()[0] for x in RESULT.split(",")]
@@ -347,22 +328,21 @@ def _remove(full: bool, schema: pa.Schema | None = None):
             raise RuntimeError("answers came for a block that wasn't sent: the input was read in another order")
         block = Block.unpack(sent[0]["a"], sent[0]["b"])
         c = Contexts(block, rows)
-        least = joined(rows, CONTEXTS, lambda r: unpack_ints(r["a"]).reshape(PLACES, -1).T).reshape(-1, PLACES)
-        if len(least) != len(c.key):
-            raise RuntimeError("a block's answers don't fit what it asked: the input was read in another order")
+        least, none = Shared().answers(rows, len(c.contexts[0]))
+        smaller = lambda least, none, doc: (none == 0) & (block.none[doc] | (least < block.ids[doc]))
         gone = np.zeros(len(block.data) + 1, np.int32)
-        if len(c.pos):
-            smaller = (least[c.of] < block.ids[c.doc][:, None]) & c.valid()[c.of]
-            which, place = np.nonzero(smaller)
-            start = c.pos[which] - REACH + place
+        for k in range(0, len(c.pos), SLICE):
+            of, doc = c.of[k : k + SLICE], c.doc[k : k + SLICE, None]
+            which, place = np.nonzero(smaller(least[of], none[of], doc) & valid(c.contexts[3][of]))
+            start = c.pos[k + which] - REACH + place
             np.add.at(gone, start, 1)
             np.add.at(gone, start + LENGTH, -1)
-        common = joined(rows, STRINGS, lambda r: unpack_ints(r["a"]), len(c.one))
-        start = c.start[common[c.string_of] < block.ids[c.start_doc]] if len(c.start) else c.start
+        least, none = LeastId(STRINGS).answers(rows, len(c.strings[0]))
+        start = c.start[smaller(least[c.string_of], none[c.string_of], c.start_doc)] if len(c.start) else c.start
         np.add.at(gone, start, 1)
         np.add.at(gone, start + LENGTH, -1)
         size = np.diff(block.off)
-        copy = (c.least < block.ids) & (size >= LENGTH)
+        copy = smaller(c.least, c.least_none, np.arange(len(block.ids))) & (size >= LENGTH)
         np.add.at(gone, block.off[:-1][copy], 1)
         np.add.at(gone, block.off[1:][copy], -1)
         gone = np.cumsum(gone)[:-1] > 0
@@ -383,7 +363,7 @@ def _remove(full: bool, schema: pa.Schema | None = None):
                     cols["n_chars"] = pc.if_else(changed, pc.utf8_length(text).cast(cols["n_chars"].type), cols["n_chars"])
                 out.append(pa.table([cols[f.name].cast(f.type) for f in schema], names=schema.names))
             return pa.concat_tables(out)
-        cols = [pa.array(block.ids, mask=block.ids == NO_ID), pa.array(size.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(n_spans.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+        cols = [block.id_column(), pa.array(size.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(n_spans.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
         head = list(names)
         if full:
             spans = []
@@ -398,23 +378,23 @@ def _remove(full: bool, schema: pa.Schema | None = None):
     return run
 
 
-def dedup(docs: DataFrame, full: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, full: bool = False, route: Route | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; full: also the kept bytes and removed spans."""
     rows = stable(docs.select("doc_id", "text"), "dedup-docs")
-    return _exchange(rows, rows.mapInArrow(send_docs, PACKET)).applyInArrow(_remove(full), FULL if full else RESULT)
+    return _exchange(rows, rows.mapInArrow(send_docs, PACKET), route, hot).applyInArrow(_remove(full), FULL if full else RESULT)
 
 
-def strip(docs: DataFrame) -> DataFrame:
+def strip(docs: DataFrame, route: Route | None = None, hot: int = HOT) -> DataFrame:
     """docs with repeated strings removed from text (bytes of a character that was cut go too), and n_chars made to fit."""
     docs = stable(docs, "dedup-docs")
-    return _exchange(docs.select("doc_id", "text"), docs.mapInArrow(send_rows, PACKET)).applyInArrow(_remove(False, to_arrow_schema(docs.schema)), docs.schema)
+    sent = docs.mapInArrow(send_rows, PACKET)
+    return _exchange(docs.select("doc_id", "text"), sent, route, hot).applyInArrow(_remove(False, to_arrow_schema(docs.schema)), docs.schema)
 
 
-def _exchange(rows: DataFrame, sent_back: DataFrame):
+def _exchange(rows: DataFrame, sent_back: DataFrame, route: Route | None, hot: int):
     """What each block needs, grouped by block: its documents as sent_back has them, and the answers to what it asked."""
-    n = buckets_for(rows)
-    met = cut(rows.mapInArrow(_ask(n), PACKET).groupBy("dst").applyInArrow(_answer, PACKET), "dedup-anchors")
-    asked = rows.mapInArrow(send_docs, PACKET)
-    asked = asked.unionAll(met).groupBy("dst").applyInArrow(_ask_contexts(n), PACKET)
-    least = cut(asked.groupBy("dst").applyInArrow(_answer_contexts, PACKET), "dedup-strings")
+    route = route or Route.for_size(text_size(rows))
+    met = resolve(rows.mapInArrow(_ask(route, hot), PACKET), [LeastId(CLASSES), Anchors(hot)], route, "dedup-anchors")
+    asked = rows.mapInArrow(send_docs, PACKET).unionAll(met).groupBy("dst").applyInArrow(_ask_contexts(route), PACKET)
+    least = resolve(asked, [Shared(), LeastId(STRINGS)], route, "dedup-strings")
     return sent_back.unionAll(met).unionAll(least).groupBy("dst")

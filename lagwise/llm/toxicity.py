@@ -24,7 +24,6 @@ contradictory labels count as toxic; without both classes the score is the class
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import NO_ID, U64, blocks, hash_spans, mix, spans, sum_by_key
+from .packed import U64, blocks, hash_spans, mix, spans, sum_by_key
 from .shared import crc_mod, cut
 
 ORDER, SHARED, DISCOUNT, PASSAGE, FIT_DOCS, FOLD = 6, 2, 0.75, 16, 2_500, 4
@@ -240,7 +239,7 @@ def score(docs: DataFrame, labels: DataFrame, test_mod: int = 4, test_rest: int
             else:
                 z = model[1][0] + scorer.features(b.data, b.off) @ model[1][1:]
                 p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            held = [zlib.crc32(b"" if i == NO_ID else str(i).encode()) % test_mod == test_rest for i in b.ids.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(b.ids, mask=b.ids == NO_ID), pa.array(held, pa.bool_()), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            held = b.remainders(test_mod) == test_rest
+            yield pa.RecordBatch.from_arrays([b.id_column(), pa.array(held, pa.bool_()), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)

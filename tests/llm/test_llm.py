@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lagwise.llm import chat_format, decontam, language_id, lm_scoring, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity, url_filters
+from lagwise.llm.packed import Route
 from lagwise.llm.queries import URL_RULES
 from lagwise.llm.suffix_array import suffix_array
 
@@ -58,8 +59,8 @@ def test_suffix_array():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("hot", [2048, 3])
-def test_suffix_dedup(docs, monkeypatch, hot):
+@pytest.mark.parametrize("hot,route", [(2048, None), (3, Route(3, 2))])
+def test_suffix_dedup(docs, hot, route):
     first = {}
     key = lambda i: math.inf if i is None else i
     for i, text, *_ in ROWS:
@@ -77,9 +78,7 @@ def test_suffix_dedup(docs, monkeypatch, hot):
         spans = sum(g and not p for p, g in zip([False, *gone], gone))
         kept = bytes(c for c, g in zip(b, gone) if not g)
         want.append((key(i), len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    if hot == 3:  # the table is below the threshold, so the code that workers run is changed for this run
-        monkeypatch.setattr(suffix_dedup, "HOT", 3)
-    got = [(key(r[0]), *r[1:]) for r in suffix_dedup.dedup(docs).collect()]
+    got = [(key(r[0]), *r[1:]) for r in suffix_dedup.dedup(docs, route=route, hot=hot).collect()]
     assert sorted(got) == sorted(want)
 
 
@@ -88,6 +87,50 @@ def test_strip_keeps_columns(docs):
     assert out.dtypes == docs.dtypes and out.count() == len(ROWS)
 
 
+def test_strip_of_wide_rows(spark):
+    """Scans of different width come in different Arrow batches; blocks don't depend on them."""
+    r = random.Random(6)
+    texts = ["".join(r.choices("abcdefgh ", k=r.randint(3000, 9000))) for _ in range(300)]
+    texts[200] += texts[3][:200]
+    d = spark.createDataFrame([(i, t, t * 2) for i, t in enumerate(texts)], "doc_id long, text string, wide string").coalesce(2)
+    key, was = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set(key, 200_000)
+    try:
+        got = {x.doc_id: x for x in suffix_dedup.strip(d).collect()}
+    finally:
+        spark.conf.set(key, was)
+    assert len(got) == 300 and all(got[i].wide == t * 2 for i, t in enumerate(texts))
+    assert {i for i, t in enumerate(texts) if got[i].text != t} == {200} and got[200].text == texts[200][:-200]
+
+
+def test_the_greatest_id_is_not_a_null_one(spark):
+    text = "every one of these sixty and more bytes stands in both of the two texts " * 2
+    d = spark.createDataFrame([(2**63 - 1, text), (None, text), (-(2**63), "other"), (None, "other two")], "doc_id long, text string")
+    got = {(x.doc_id, x.n_removed > 0) for x in suffix_dedup.dedup(d).collect()}
+    assert got == {(2**63 - 1, False), (None, True), (-(2**63), False), (None, False)}
+    held = {x.doc_id: x.held_out for x in lm_scoring.score(d, 7, zlib.crc32(str(2**63 - 1).encode()) % 7).collect()}
+    assert held[2**63 - 1] and held.keys() == {2**63 - 1, None, -(2**63)}
+
+
+@pytest.mark.parametrize("blocks", [1, 9, 60])
+def test_packets_grow_with_the_input(blocks):
+    """Each block sends at most 2**bits packets a kind; nodes are as many as buckets at every level."""
+    from lagwise.llm.packed import Totals
+
+    route, rng = Route(2, 3), np.random.default_rng(blocks)
+    first, fold = [], Totals(10)
+    for b in range(blocks):
+        keys = np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64))
+        route.send(fold, b, 1, (keys, np.ones(len(keys), np.int64)), first)
+    assert blocks * 2**3 * 0.9 < len(first) <= blocks * 2**3
+    nodes, second = {}, []
+    for dst, src, kind, a, b in first:
+        nodes.setdefault(dst, []).append({"src": src, "dst": dst, "kind": kind, "a": a, "b": b})
+    for dst, rows in nodes.items():
+        route.send(fold, dst, 2, fold.merged(rows)[0], second)
+    assert len(nodes) <= 2**6 and len({x[0] for x in second}) <= 2**6 and len(second) <= 2**9
+
+
 def simhash(text):
     w = (text or "").encode().lower().split()
     sh = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
@@ -145,6 +188,41 @@ def test_lm_base_and_model(docs):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_lm_score_is_the_mixture(spark):
+    """One block, so that the deleted counts can be worked out by hand: EM on the same held-out events, then the formula."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("the a of to in on it is at by".split()) for _ in range(r.randint(0, 30)))) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    grams = [[(*x,) for x in zip(["<", "<", *w], ["<", *w], [*w, ">"])] for w in (t.split() for _, t in rows)]
+    tally = lambda use: [Counter(g[k:] for i in use for g in grams[i]) for k in range(3)]
+    contexts = lambda use: [Counter(g[k:2] for i in use for g in grams[i]) for k in range(2)]
+    docs = [i for i in range(80) if train[i]]
+    full, full_c, n = tally(docs), contexts(docs), sum(len(grams[i]) for i in docs)
+    v = len(full[2])
+    cells = Counter()
+    for part in range(4):
+        held = [i for i in docs if i % 4 == part]
+        own, own_c = tally(held), contexts(held)
+        size = sum(len(grams[i]) for i in held)
+        for g in (g for i in held for g in grams[i]):
+            cuv, cv = (full_c[k][g[k:2]] - own_c[k][g[k:2]] for k in range(2))
+            f = [(full[0][g] - own[0][g]) / max(1, cuv), (full[1][g[1:]] - own[1][g[1:]]) / max(1, cv), (full[2][g[2:]] - own[2][g[2:]]) / max(1, n - size)]
+            b = min(math.frexp(cuv)[1], 23) if cuv else 24 + min(math.frexp(cv)[1], 23)
+            cells[b, *(min(63, max(1, round(-2 * math.log2(x)) + 1)) if x else 0 for x in f)] += 1
+    code = np.array([((b * 64 + x) * 64 + y) * 64 + z for b, x, y, z in cells])
+    weights = lm_scoring.learn_weights(code, np.array(list(cells.values())), v)
+    for route in (None, Route(2, 2)):
+        got = {x.doc_id: x.score for x in lm_scoring.score(d, route=route).collect()}
+        for i, gs in enumerate(grams):
+            want = 0.0
+            for g in gs:
+                cuv, cv = full_c[0][g[:2]], full_c[1][g[1:2]]
+                w = weights[min(math.frexp(cuv)[1], 23) if cuv else 24 + min(math.frexp(cv)[1], 23)]
+                want += math.log10(w[0] * full[0][g] / max(1, cuv) + w[1] * full[1][g[1:]] / max(1, cv) + w[2] * full[2][g[2:]] / n + w[3] / (v + 1))
+            assert got[i] == pytest.approx(want, abs=1e-6)
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
