@@ -4,22 +4,28 @@ A fingerprint's bit is 1 if it is set in over half of the XXH64 hashes (seed 42)
 text's 3-word shingles. Texts link where fingerprints differ in 2 bits at most.
 
 Byte-position inverted index with count filtering: two fingerprints that differ in 2 bits
-share at least 6 of their 8 (position, byte) entries. The index posts each distinct
-fingerprint under its combinations of six positional bytes, so meeting in one posting list
-is the tally of 6 shared entries, and no list of a single byte, which a large corpus would
-fill with 1/256 of everything, is ever joined with itself. A list's members agree on 6
-bytes and are distinct, so it has at most 2^16 members, however many copies there are. Within a list the shared positional
-bytes of pairs are tallied, pairs below 6 dropped and the rest verified bit by bit; what
-leaves is a spanning forest of the links, never all pairs. Components over all lists come
-from rounds of large-star and small-star steps, each cut in shared storage.
+share at least 6 of their 8 (position, byte) entries. A list of one entry alone holds 1/256
+of everything, so the index posts under four entries at a time: positions come in four groups
+of two, at most two bytes differ, hence any two linked fingerprints agree on at least two
+groups and meet in one of six lists. Within a list the members' shared entries are tallied pair
+by pair, pairs below 6 dropped and the rest verified bit by bit. Lists over LIST members are
+split first by two further entries, in each of the six ways that 6 shared entries allow; then
+members agree on six bytes and are distinct, so there are at most 2^16 of them, however many
+copies there are, and above PAIRWISE members a pair with the least tally is found by looking
+up each member with one or two of its last sixteen bits turned. What leaves a list is a
+spanning forest of its links, never all pairs. Components over all lists come from rounds of
+large-star and small-star steps, each cut in shared storage.
 
 Exact copies and equal fingerprints collapse before the index, so a group of copies with a
 third of all rows is one entry.
 
 Defined cases: null and empty text have fingerprint zero, linked like any other; fewer than
-three words make one shingle; null doc_ids are returned, and count as larger than all others
-(a component of null ids only has a null component_id); repeated rows are returned each; an
-empty table gives an empty result.
+three words make one shingle; a text of any length is hashed whole; null doc_ids are returned,
+and count as larger than all others (a component of null ids only has a null component_id);
+repeated rows are returned each by `classes`, and `keep_one` keeps one of them; among rows with
+the least id of a component it keeps the one with the least fingerprint, then the least hash of
+its text, then of its other columns; an empty table gives an empty result; other columns, of any
+name, are ignored by `classes` and come back unchanged from `keep_one`.
 """
 
 from __future__ import annotations
@@ -30,18 +36,20 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .packed import blocks, text_bytes
+from .packed import blocks_with_rows
 from .shared import cut
 
 SHINGLE, SEED, BITS, BYTES = 3, 42, 2, 8
 LEAST = BYTES - BITS
-SETS = list(combinations(range(BYTES), LEAST))
-#: Lists up to this many members compare pairs; larger ones look up the neighbours of each two-byte remainder.
-PAIRWISE = 128
+#: The four positions of each of the six kinds of lists; for each of them, the six ways to add two more.
+PAIRS_OF_GROUPS = [tuple(p for g in two for p in (2 * g, 2 * g + 1)) for two in combinations(range(4), 2)]
+FURTHER = [list(combinations([p for p in range(BYTES) if p not in four], 2)) for four in PAIRS_OF_GROUPS]
+#: Lists over LIST members are split by two more bytes; up to PAIRWISE members pairs are tallied, CHUNK members against all at a time.
+LIST, PAIRWISE, CHUNK = 1024, 2048, 64
 
 
 def fingerprint_hashes(text: bytes) -> list[int]:
@@ -66,36 +74,45 @@ def fingerprints_of(texts: list[bytes]) -> np.ndarray:
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in blocks(batches):
+    for b, rows in blocks_with_rows(batches):
         raw = b.data.tobytes()
         fp = fingerprints_of([raw[i:j] for i, j in zip(b.off[:-1].tolist(), b.off[1:].tolist())])
-        yield pa.RecordBatch.from_arrays([b.id_column(), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.id_column(), pa.array(fp.view(np.int64)), rows.column("pick").combine_chunks()], names=["doc_id", "fp", "pick"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long)."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint, "doc_id long, fp long")
+    """doc_id, fp (the fingerprint's 64 bits as a long) and pick (a hash of the text)."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("pick")).mapInArrow(_fingerprint, "doc_id long, fp long, pick long")
 
 
-def forest(fp: np.ndarray, keep: tuple[int, ...]) -> list[tuple[int, int]]:
-    """Links (member, least member of its class) among distinct fingerprints that agree on the bytes `keep`."""
+def forest(fp: np.ndarray, shared: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Links (member, least member of its class) among distinct fingerprints that agree on the bytes at `shared`."""
     n = len(fp)
     root = np.arange(n)
-    if n <= PAIRWISE:
+    if n <= PAIRWISE or len(shared) < LEAST:
         entry = fp.view(np.uint8).reshape(n, BYTES)
-        shared = (entry[:, None, :] == entry[None, :, :]).sum(2)
-        near = (shared >= LEAST) & (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= BITS)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, n, CHUNK):
+            tally = np.full((min(CHUNK, n - at), n), len(shared), np.uint8)
+            for k in range(BYTES):
+                if k not in shared:
+                    tally += entry[at : at + CHUNK, None, k] == entry[None, :, k]
+            i, j = np.nonzero(tally >= LEAST)
+            near = np.bitwise_count(fp[at + i] ^ fp[j]) <= BITS
+            a.append(at + i[near])
+            b.append(j[near])
+        a, b = np.concatenate(a), np.concatenate(b)
         while True:
-            low = np.where(near, root[None, :], n).min(1)
+            low = root.copy()
+            np.minimum.at(low, a, root[b])
             if (low == root).all():
                 break
             root = low
     else:
-        free = [k for k in range(BYTES) if k not in keep]
         rest = np.zeros(n, np.int64)
-        for j, k in enumerate(free):
+        for j, k in enumerate(k for k in range(BYTES) if k not in shared):
             rest |= ((fp >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64) << (8 * j)
-        width = 8 * len(free)
+        width = 8 * (BYTES - len(shared))
         held = np.full(1 << width, n)
         masks = [1 << i for i in range(width)] + [(1 << i) | (1 << j) for i, j in combinations(range(width), 2)]
         while True:
@@ -113,25 +130,33 @@ def forest(fp: np.ndarray, keep: tuple[int, ...]) -> list[tuple[int, int]]:
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         links: set[tuple[int, int]] = set()
-        for which, members in zip(batch.column("which").to_pylist(), batch.column("members").to_pylist()):
-            links.update(forest(np.sort(np.array(members, np.int64).view(np.uint64)), SETS[which]))
+        for which, more, members in zip(batch.column("which").to_pylist(), batch.column("more").to_pylist(), batch.column("members").to_pylist()):
+            shared = PAIRS_OF_GROUPS[which] + (FURTHER[which][more] if more is not None else ())
+            links.update(forest(np.sort(np.array(members, np.int64).view(np.uint64)), shared))
         a, b = zip(*links) if links else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def _entries(fp: str, positions: tuple[int, ...]) -> Column:
+    """The bytes of fp at some positions as one number."""
+    value = F.lit(0).cast("long")
+    for j, k in enumerate(positions):
+        value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255)), 8 * j))
+    return value
+
+
+def links(distinct: DataFrame, most: int = LIST) -> DataFrame:
     """Edges (a, b) that connect what links among distinct fingerprints (column fp)."""
-    post = []
-    for which, keep in enumerate(SETS):
-        value = F.lit(0).cast("long")
-        for j, k in enumerate(keep):
-            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)), 8 * j))
-        post.append(F.struct(F.lit(which).alias("which"), value.alias("entry")))
+    post = [F.struct(F.lit(w).alias("which"), _entries("fp", four).alias("entry")) for w, four in enumerate(PAIRS_OF_GROUPS)]
     posted = distinct.select("fp", F.explode(F.array(*post)).alias("p")).select("fp", "p.which", "p.entry")
-    lists = posted.groupBy("which", "entry").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
-    several = lists.where("n > 1").select("which", "entry")
-    met = posted.join(several, ["which", "entry"], "left_semi").groupBy("which", "entry").agg(F.collect_list("fp").alias("members"))
-    return met.mapInArrow(_link, "a long, b long").distinct()
+    met = cut(posted.withColumn("n", F.count("*").over(Window.partitionBy("which", "entry"))).where("n > 1"), "posted")
+    small = met.where(F.col("n") <= most).groupBy("which", F.lit(None).cast("int").alias("more"), "entry").agg(F.collect_list("fp").alias("members"))
+    again = F.when(F.lit(False), F.array().cast("array<struct<more:int,further:long>>"))
+    for w, ways in enumerate(FURTHER):
+        again = again.when(F.col("which") == w, F.array(*[F.struct(F.lit(m).alias("more"), _entries("fp", two).alias("further")) for m, two in enumerate(ways)]))
+    large = met.where(F.col("n") > most).select("which", "entry", "fp", F.explode(again).alias("p")).groupBy("which", "p.more", "entry", "p.further").agg(F.collect_list("fp").alias("members"))
+    lists = small.select("which", "more", "members").unionAll(large.where(F.size("members") > 1).select("which", "more", "members"))
+    return lists.mapInArrow(_link, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,20 +192,13 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the least doc_id, unchanged.
 
-    Among rows with that doc_id, the one with the least fingerprint, then any of equal ones.
+    Fingerprints are worked out once; texts are shuffled once, to meet the rows chosen.
     """
     held = cut(fingerprints(docs), "fingerprints")
-    stay = held.join(_rooted(held), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("x"))
-    key = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)))
-    stay = stay.select(key("x.doc_id").alias("stay_id"), F.col("x.fp").alias("stay_fp"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("stay_fp", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = text_bytes(batch.column("text"))
-            raw = data.tobytes()
-            fp = fingerprints_of([raw[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=schema.names)
-
-    rows = docs.mapInArrow(run, schema).withColumn("stay_id", key("doc_id"))
-    return rows.join(stay, ["stay_id", "stay_fp"], "left_semi").dropDuplicates(["stay_id", "stay_fp"]).select(*docs.columns)
+    stay = held.join(_rooted(held), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "pick")).alias("x"))
+    key = [F.col("k.none").alias("none"), F.coalesce("k.doc_id", F.lit(0)).alias("id"), F.col("k.pick").alias("pick")]
+    stay = stay.select(F.col("x").alias("k")).select(*key)
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("pick")).alias("k"), F.xxhash64(*plain).alias("whole"))
+    rows = rows.select("row", *key, "whole").join(stay, ["none", "id", "pick"], "left_semi")
+    return rows.groupBy("none", "id", "pick").agg(F.min_by("row", "whole").alias("row")).select("row.*")

@@ -152,11 +152,18 @@ def test_simhash(docs):
     assert kept.dtypes == docs.dtypes and kept.count() == len(least)
 
 
-@pytest.mark.parametrize("n", [100, 700])
-def test_forest_of_links(n):
-    r = random.Random(n)
-    base = r.getrandbits(64)
-    fp = np.array(sorted({base ^ (r.getrandbits(16) & r.getrandbits(16)) for _ in range(n)}), np.uint64)
+def near_classes(fp):
+    """The number of classes of fingerprints under links of 2 bits, by brute force."""
+    label = np.arange(len(fp))
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2
+    while True:
+        low = np.where(near, label[None, :], len(fp)).min(1)
+        if (low == label).all():
+            return len(set(label.tolist()))
+        label = low
+
+
+def joined_classes(fp, edges):
     parent = {int(x): int(x) for x in fp}
 
     def root(x):
@@ -164,16 +171,42 @@ def test_forest_of_links(n):
             x = parent[x]
         return x
 
-    for a, b in simhash_dedup.forest(fp, (2, 3, 4, 5, 6, 7)):
+    for a, b in edges:
+        assert ((a ^ b) % 2**64).bit_count() <= 64
         parent[root(a % 2**64)] = root(b % 2**64)
-    near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2)
-    label = np.arange(len(fp))
-    for _ in range(len(fp)):
-        low = np.where(near, label[None, :], len(fp)).min(1)
-        if (low == label).all():
-            break
-        label = low
-    assert len({root(int(x)) for x in fp}) == len(set(label.tolist()))
+    return len({root(int(x)) for x in fp})
+
+
+@pytest.mark.parametrize("n,shared", [(100, (2, 3, 4, 5, 6, 7)), (700, (2, 3, 4, 5, 6, 7)), (3000, (2, 3, 4, 5, 6, 7)), (900, (4, 5, 6, 7))])
+def test_forest_of_links(n, shared):
+    r = random.Random(n)
+    base = r.getrandbits(64)
+    fp = np.array(sorted({base ^ (r.getrandbits(64 - 8 * len(shared)) & r.getrandbits(16)) for _ in range(n)}), np.uint64)
+    assert joined_classes(fp, simhash_dedup.forest(fp, shared)) == near_classes(fp)
+
+
+@pytest.mark.parametrize("most", [1024, 5])
+def test_links_of_the_index(spark, most):
+    r = random.Random(most)
+    fps = set()
+    for _ in range(40):
+        x = r.getrandbits(64)
+        for _ in range(12):
+            fps.add(x)
+            for _ in range(r.randint(1, 3)):
+                x ^= 1 << r.randrange(64)
+    fp = np.array(sorted(fps), np.uint64)
+    edges = simhash_dedup.links(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), most).collect()
+    assert joined_classes(fp, edges) == near_classes(fp)
+
+
+def test_keep_one_with_clashing_columns(spark):
+    text = "one two three four five six seven eight"
+    rows = [(None, text, 1, 5, {"a": 1}), (-(2**63), "a b c d", 2, 6, None), (2**63 - 1, text, 77, 7, {}), (2**63 - 1, text, 78, 8, {}), (5, None, 3, 9, None), (6, "", 4, 9, None)]
+    kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, stay_id long, fp long, whole map<string,int>"))
+    got = sorted((x.doc_id, x.stay_id, x.fp) for x in kept.collect())
+    assert got in ([(-(2**63), 2, 6), (5, 3, 9), (2**63 - 1, 77, 7)], [(-(2**63), 2, 6), (5, 3, 9), (2**63 - 1, 78, 8)])
+    assert kept.columns == ["doc_id", "text", "stay_id", "fp", "whole"]
 
 
 def test_lm_base_and_model(docs):
