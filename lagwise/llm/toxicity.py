@@ -1,25 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two character models, one learned from toxic and one from ordinary documents, give each
-word a log-likelihood; the length-normalised difference of a text's two log-likelihoods is
-what scores it. A character is predicted from up to ORDER - 1 characters of its own word.
-Both classes interpolate with absolute discounting, and both back off to the same pooled
-Kneser-Ney continuation counts, so an expression that is rare in one class is judged by
-what both together know of it and not by its absence.
-
-The difference per character is taken over the whole text and over the passage of PASSAGE
-words where it is greatest, so that a few abusive words in a long text aren't averaged
-away; a logistic regression of the two, fitted on labelled documents kept out of the
-counts, turns them into a score from 0 to 1.
+Two models of words, one learned from toxic and one from ordinary documents, give each word
+a log-likelihood, character by character, and its end. A character's probability depends on
+the ORDER - 1 characters before it in its word, or on all of them and the word's beginning
+where those are fewer. Both classes interpolate with absolute discounting (DISCOUNT), and both
+back off to the same pooled Kneser-Ney continuation counts of orders 1 to SHARED, so an
+expression that is rare in one class is judged by what both together know of it and not by its
+absence. A word counts once for each document that has it: repeated lines add nothing.
+
+The difference of a word's two log-likelihoods, over distinct words, is what scores a text: it
+is length-normalised as the mean over the text's words, and as the means over the one and
+the TOP words where it is greatest, so that a few abusive words in a long text aren't averaged
+away. The greatest of many words is large by chance, so the logarithm of their number is the
+fourth feature. A logistic regression of the four, fitted on labelled documents kept out of
+the counts, turns them into a score from 0 to 1.
 
 Counts come from at most FIT_DOCS labelled documents of each class, those with the smallest
 hash of their id (a documented bound on fitting only: models are sent to all executors,
 and FIT_DOCS bounds them). Every document is scored whole, in one scan, without a shuffle.
 
-Defined cases: null, empty and letterless texts have difference 0 and get the score that
-goes with it; repeated rows are scored each; labels for unknown documents are ignored and
-contradictory labels count as toxic; without both classes the score is the class seen, or
-0; an empty table gives an empty result.
+Defined cases: null, empty and letterless texts have features 0 and get the score that
+goes with them; a text of any length is scored over all its words; repeated rows are scored
+each; equal differences are interchangeable, so ties don't matter; labels for unknown documents
+and null labels are ignored and contradictory labels count as toxic; without both classes the
+score is the class seen, or 0; an empty table gives an empty result; a null doc_id has no label
+and is returned as null; columns other than doc_id, text and toxic, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +41,9 @@ from pyspark.sql import functions as F
 from .packed import U64, blocks, hash_spans, mix, spans, sum_by_key
 from .shared import crc_mod, cut
 
-ORDER, SHARED, DISCOUNT, PASSAGE, FIT_DOCS, FOLD = 6, 2, 0.75, 16, 2_500, 4
+ORDER, SHARED, DISCOUNT, TOP, FIT_DOCS, FOLD = 5, 4, 0.9, 3, 6_000, 4
 THRESHOLD = 0.3
+FEATURES = ["whole", "best", "top", "many"]
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 #: Bytes that end a word: ASCII other than letters.
 BREAKS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
@@ -156,25 +162,24 @@ class Scorer:
         return value[number]
 
     def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """(documents, 2): the difference per character of the text and of its most toxic passage."""
+        """(documents, 4): the mean difference of the distinct words, of the greatest and of the TOP greatest, and the logarithm of their number."""
         n = len(off) - 1
         starts, ends = spans(data, off, BREAKS)
         if not len(starts):
-            return np.zeros((n, 2))
+            return np.zeros((n, 4))
         raw = data.tobytes()
-        each = self.words(hash_spans(data, starts, ends, np.arange(256, dtype=np.uint8)), lambda i: raw[starts[i] : ends[i]])
+        h = hash_spans(data, starts, ends, np.arange(256, dtype=np.uint8))
+        each = self.words(h, lambda i: raw[starts[i] : ends[i]])
         doc = np.searchsorted(off, starts, "right") - 1
-        size = ends - starts + 1
-        whole = np.bincount(doc, each, n) / np.maximum(np.bincount(doc, size, n), 1)
-        run, long = np.concatenate([[0], np.cumsum(each)]), np.concatenate([[0], np.cumsum(size)])
-        first = np.searchsorted(doc, np.arange(n))
-        last = np.searchsorted(doc, np.arange(n), "right")
-        to = np.minimum(np.arange(len(starts)) + PASSAGE, last[doc])
-        begin = np.maximum(first[doc], to - PASSAGE)
-        passage = (run[to] - run[begin]) / (long[to] - long[begin])
-        best = np.full(n, -np.inf)
-        np.maximum.at(best, doc, passage)
-        return np.stack([whole, np.where(np.isfinite(best), best, 0.0)], 1)
+        order = np.lexsort((h, doc))
+        once = order[np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(h[order]) != 0)])]
+        each, doc = each[once], doc[once]
+        order = np.lexsort((-each, doc))
+        each, doc = each[order], doc[order]
+        size = np.bincount(doc, minlength=n)
+        place = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+        mean = lambda use, most: np.bincount(doc[use], each[use], n) / np.maximum(np.minimum(size, most), 1)
+        return np.stack([mean(place >= 0, len(doc)), mean(place < 1, 1), mean(place < TOP, TOP), np.log(np.maximum(size, 1))], 1)
 
 
 def lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +188,16 @@ def lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (intercept first) by Newton steps with a slight ridge."""
-    x = np.concatenate([np.ones((len(x), 1)), x], 1)
+    """Weights (intercept first) by Newton steps on standardised columns, with a slight ridge."""
+    mean, deviation = x.mean(0), x.std(0) + 1e-9
+    x = np.concatenate([np.ones((len(x), 1)), (x - mean) / deviation], 1)
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         grad = x.T @ (p - y) + 1e-3 * w
         w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w)), grad)
-    return w
+    slope = w[1:] / deviation
+    return np.concatenate([[w[0] - slope @ mean], slope])
 
 
 def fit(docs: DataFrame, known: DataFrame) -> tuple[Model, np.ndarray] | float:
@@ -206,7 +213,7 @@ def fit(docs: DataFrame, known: DataFrame) -> tuple[Model, np.ndarray] | float:
     parts = [held.where(F.col("toxic") == c).orderBy("rank", "text").limit(FIT_DOCS).drop("rank") for c in (0, 1)]
     few = cut(parts[0].unionAll(parts[1]).repartition(16, "pick"), "toxicity-fit")
     letters = F.array_remove(F.split(F.regexp_replace(F.lower("text"), r"[\x00-\x60\x7B-\x7F]+", " "), " "), "")
-    counted = few.where(F.col("pick") % FOLD != 0).select("toxic", F.explode(letters).alias("w")).groupBy("w").agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t")).toPandas()
+    counted = few.where(F.col("pick") % FOLD != 0).select("toxic", F.explode(F.array_distinct(letters)).alias("w")).groupBy("w").agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t")).toPandas()
     if not counted["t"].sum() or not counted["o"].sum():
         seen = few.agg(F.max("toxic")).first()[0]
         return float(seen or 0)
@@ -218,12 +225,12 @@ def fit(docs: DataFrame, known: DataFrame) -> tuple[Model, np.ndarray] | float:
         scorer = Scorer(model)
         for b in blocks(lowered(batches)):
             f = scorer.features(b.data, b.off)
-            yield pa.RecordBatch.from_arrays([pa.array(b.ids), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["y", "whole", "best"])
+            yield pa.RecordBatch.from_arrays([pa.array(b.ids), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(4))], names=["y", *FEATURES])
 
-    seen = rest.mapInArrow(run, "y long, whole double, best double").toPandas()
+    seen = rest.mapInArrow(run, "y long, " + ", ".join(f"{c} double" for c in FEATURES)).orderBy("y", *FEATURES).toPandas()
     if seen["y"].nunique() < 2:
-        return model, np.array([0.0, 1.0, 1.0])
-    return model, _logistic(seen[["whole", "best"]].to_numpy(), seen["y"].to_numpy(np.float64))
+        return model, np.array([0.0, 1.0, 0.0, 0.0, 0.0])
+    return model, _logistic(seen[FEATURES].to_numpy(), seen["y"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, labels: DataFrame, test_mod: int = 4, test_rest: int = 2) -> DataFrame:

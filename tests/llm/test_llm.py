@@ -445,3 +445,61 @@ def test_pipeline(spark):
     assert ids == {r.doc_id for r in docs.collect()}
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert not [1 for r in docs.collect() for t in items if t in r.text]
+
+
+def test_word_models_are_kneser_ney():
+    """Each word's difference against the formula, with counts held in dicts."""
+    r = random.Random(12)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(60)})
+    counts = np.array([[r.randint(0, 4), r.randint(0, 4)] for _ in words])
+    order, shared, d = toxicity.ORDER, toxicity.SHARED, toxicity.DISCOUNT
+
+    def grams(word, n):
+        """(context of n - 1 symbols, symbol) at each place; `^` pads the beginning, `$` ends the word."""
+        s = "^" * order + word + "$"
+        return [(s[i - n + 1 : i], s[i]) for i in range(order, len(s))]
+
+    def counted(pairs):
+        c, t, k = Counter(), Counter(), Counter()
+        for g, n in pairs:
+            if n > 0:
+                k[g[0]] += g not in c
+                c[g] += n
+                t[g[0]] += n
+        return c, t, k
+
+    levels = []
+    for n in range(1, order + 1):
+        if n <= shared:
+            longer = {(a, b) for w in words for (a, b) in zip((g[0] for g in grams(w, n + 1)), grams(w, n))}
+            levels.append([counted([(g, 1) for _, g in sorted({(x[0][:1], x[1]) for x in longer})])] * 2)
+        else:
+            levels.append([counted([(g, int(counts[i, q])) for i, w in enumerate(words) for g in grams(w, n)]) for q in (0, 1)])
+
+    def log_p(word, q):
+        out = 0.0
+        for i in range(len(word) + 1):
+            p = 1 / 257
+            for n, level in enumerate(levels, 1):
+                c, t, k = level[q]
+                g = grams(word, n)[i]
+                if t[g[0]]:
+                    p = (max(c[g] - d, 0) + d * k[g[0]] * p) / t[g[0]]
+            out += math.log(p)
+        return out
+
+    model = toxicity.Model.learn([w.encode() for w in words], counts)
+    asked = [*words, "abcabca", "zz", "c"]
+    for w, x in zip(asked, model.differences([w.encode() for w in asked])):
+        assert x == pytest.approx(log_p(w, 1) - log_p(w, 0), abs=1e-6)
+
+
+def test_toxicity_features():
+    class Known(toxicity.Scorer):
+        def words(self, hashes, spell):
+            return np.array([{b"aa": 1.0, b"b": -2.0, b"ccc": 5.0}[bytes(spell(i))] for i in range(len(hashes))])
+
+    texts = [b"aa b aa ccc aa", b"", b"1 2", b"b b b"]
+    off = np.cumsum([0, *map(len, texts)])
+    got = Known(None).features(np.frombuffer(b"".join(texts), np.uint8), off)
+    assert got == pytest.approx(np.array([[4 / 3, 5, 4 / 3, math.log(3)], [0, 0, 0, 0], [0, 0, 0, 0], [-2, -2, -2, 0]]))
