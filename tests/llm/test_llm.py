@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lagwise.llm import chat_format, decontam, language_id, lm_scoring, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity, url_filters
 from lagwise.llm.packed import Route
 from lagwise.llm.queries import URL_RULES
+from lagwise.llm.shared import cut
 from lagwise.llm.suffix_array import suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, kept string"
@@ -372,8 +373,35 @@ def test_quality_counts(docs):
 
     got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.score(docs).collect())
     assert got == sorted((str(i), *brute(t)) for i, t, *_ in ROWS)
-    kept = quality_rules.keep(docs)
-    assert kept.dtypes == docs.dtypes and 0 < kept.count() < len(ROWS)
+    clashing = docs.withColumns({"q": F.lit(1), "n_words": F.lit(2), "g_lang": F.lit(3), "row": F.lit(4)})
+    kept = quality_rules.keep(clashing)
+    assert kept.dtypes == clashing.dtypes and 0 < kept.count() < len(ROWS) and {(r.q, r.n_words, r.g_lang, r.row) for r in kept.collect()} == {(1, 2, 3, 4)}
+
+
+@pytest.mark.parametrize("share", [1000, 2])
+def test_quality_verdicts_equal_sql(spark, docs, share):
+    """Whole verdicts against the SQL, with all groups broadcast and with most of them shuffled."""
+    import duckdb
+
+    con = duckdb.connect()
+    for d in (docs, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        con.register("documents", pa.Table.from_pylist([r.asDict() for r in d.select("doc_id", "text", "lang", "source").collect()], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string())])))
+        want = sorted(map(repr, con.execute(quality_rules.SQL).fetchall()))
+        measured = cut(quality_rules.measures(d.select("doc_id", "text", "lang", "source")).drop("text"), "measured")
+        got = quality_rules.judge(measured, share).select("doc_id", *(f"q.{c}" for c in quality_rules.COUNTS[:5]), "q.base_failed", "kept").collect()
+        assert sorted(repr(tuple(r)) for r in got) == want
+
+
+def test_groups_get_their_own_fences(spark):
+    """Code has symbols in every line, prose has none: the same document is junk in prose and usual in code."""
+    r = random.Random(7)
+    prose = lambda n, odd: " ".join("#" * 3 if k % 9 in odd else "w" + str(r.randrange(10**6)) for k in range(n))
+    rows = [(i, prose(r.randint(60, 100), {8} if i % 2 else ()), "en", ["book", "code"][i % 2]) for i in range(1200)]
+    rows += [(2000, prose(150, {7, 8}), "en", "book"), (2001, prose(150, {7, 8}), "en", "code"), (2002, prose(150, {1, 2, 3, 4, 5, 6}), "en", "code")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {x.doc_id for x in quality_rules.keep(d).collect()} == {*range(1200), 2001}
+    own = {x.g_source: x.g_symbols for x in quality_rules.fences(quality_rules.sketch(quality_rules.measures(d))).collect()}
+    assert own["code"] > 3 * max(1, own["book"])
 
 
 def test_sketch_bucket(spark):
