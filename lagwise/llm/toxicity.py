@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .packed import U64, blocks, hash_spans, mix, spans, sum_by_key
 from .shared import crc_mod, cut
 
-ORDER, SHARED, DISCOUNT, TOP, FIT_DOCS, FOLD = 5, 4, 0.9, 3, 6_000, 4
+ORDER, SHARED, DISCOUNT, TOP, FIT_DOCS, FOLD = 5, 4, 0.9, 3, 4_000, 4
 THRESHOLD = 0.3
 FEATURES = ["whole", "best", "top", "many"]
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
