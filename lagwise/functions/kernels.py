@@ -49,8 +49,7 @@ def direction(x: np.ndarray, y: np.ndarray, max_lag: int = 12, n_perm: int = 100
     """(direction, lag, p): which of the two leads, by permutation tests at the best lag each way."""
     best = []
     for a, b in ((x, y), (y, x)):
-        profile = lag_profile(a, b, max_lag, k) or [0.0]
-        lag = 1 + int(np.argmax(profile))
+        lag, _ = best_lag(a, b, max_lag, k)
         best.append((lag, permutation_p(a[: len(a) - lag], b[lag:], n_perm, k, threshold)[1]))
     (forward, pf), (backward, pb) = best
     if pf < threshold and pb < threshold:
@@ -65,11 +64,11 @@ def least_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     return beta, float(((b - a @ beta) ** 2).sum())
 
 
-def _adf_statistic(v: np.ndarray, lags: int, start: int) -> tuple[float, float]:
-    """(t of the level, AIC) of a Dickey-Fuller regression with constant, on rows from `start`."""
+def _adf_statistic(v: np.ndarray, lags: int, start: int, constant: bool = True) -> tuple[float, float]:
+    """(t of the level, AIC) of a Dickey-Fuller regression, with constant or not, on rows from `start`."""
     d = np.diff(v)
     rows = np.arange(start, len(d))
-    a = np.column_stack([v[rows], *[d[rows - j] for j in range(1, lags + 1)], np.ones(len(rows))])
+    a = np.column_stack([v[rows], *[d[rows - j] for j in range(1, lags + 1)], *[np.ones(len(rows))] * constant])
     beta, rss = least_squares(a, d[rows])
     free = len(rows) - a.shape[1]
     cov = np.linalg.pinv(a.T @ a)[0, 0] * rss / max(free, 1)
@@ -77,27 +76,47 @@ def _adf_statistic(v: np.ndarray, lags: int, start: int) -> tuple[float, float]:
     return float(beta[0] / math.sqrt(max(cov, 1e-300))), aic
 
 
-#: MacKinnon (2010) surface for a constant, one series; 1, 5 and 10 %.
-MACKINNON = ((0.01, -3.43035, -6.5393, -16.786, -79.433), (0.05, -2.86154, -2.8903, -4.234, -40.040), (0.10, -2.56677, -1.5384, -2.809, 0.0))
+def adf_statistic(v: np.ndarray, constant: bool = True) -> float:
+    """The Dickey-Fuller t with lag order by AIC on a common sample."""
+    n = len(v)
+    most = max(0, min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 1 - constant))
+    lags = min(range(most + 1), key=lambda p: _adf_statistic(v, p, most, constant)[1])
+    return _adf_statistic(v, lags, lags, constant)[0]
+
+
+#: MacKinnon's (1994) response surface with a constant, for 1 and 2 series: where it is 0 and 1, where its halves meet, coefficients of each half.
+MACKINNON = {
+    1: (-18.83, 2.74, -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)),
+    2: (-18.86, 0.92, -2.62, (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)),
+}
 #: KPSS (1992) level table.
 KPSS_TABLE = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
 
 
+def unit_root_p(t: float, series: int = 1) -> float:
+    """The asymptotic p-value of a unit-root (1 series) or cointegration (2 series) t."""
+    low, high, meet, lower, upper = MACKINNON[series]
+    if t <= low or t >= high:
+        return float(t >= high)
+    z = sum(c * t**k for k, c in enumerate(lower if t <= meet else upper))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
 def adf_p(v: np.ndarray) -> float:
-    """Unit-root p-value with lag order by AIC, interpolated between critical values (0.001 to 0.99)."""
-    n = len(v)
-    if n < 12 or np.ptp(v) == 0:
-        return 1.0
-    most = max(0, min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 3))
-    lags = min(range(most + 1), key=lambda p: _adf_statistic(v, p, most)[1])
-    t, size = _adf_statistic(v, lags, lags)[0], n - 1 - lags
-    points = [(b0 + b1 / size + b2 / size**2 + b3 / size**3, p) for p, b0, b1, b2, b3 in MACKINNON]
-    low, high = points[0], points[-1]
-    if t <= low[0]:
-        return max(0.001, low[1] * math.exp(2 * (t - low[0])))
-    if t >= high[0]:
-        return min(0.99, 1 - 0.9 * math.exp(-0.9 * (t - high[0])))
-    return float(np.interp(t, [c for c, _ in points], [p for _, p in points]))
+    """Unit-root p-value; 1 for series that are too short or constant."""
+    return 1.0 if len(v) < 12 or np.ptp(v) == 0 else unit_root_p(adf_statistic(v))
+
+
+def cointegration(x: np.ndarray, y: np.ndarray, alpha: float = 0.05) -> tuple[bool, float]:
+    """(cointegrated, p) by Engle and Granger's two steps: the residual of x on y and a constant has no unit root."""
+    if len(x) != len(y) or len(x) < 12 or np.ptp(x) == 0 or np.ptp(y) == 0:
+        return False, 1.0
+    a = np.column_stack([y, np.ones(len(y))])
+    beta, rss = least_squares(a, x)
+    if rss <= 100 * math.sqrt(np.finfo(float).eps) * float(((x - x.mean()) ** 2).sum()):
+        return True, 0.0  # one is a multiple of the other
+    p = unit_root_p(adf_statistic(x - a @ beta, constant=False), 2)
+    return p < alpha, p
 
 
 def kpss_p(v: np.ndarray) -> float:
@@ -187,11 +206,66 @@ def bic_lag(x: np.ndarray, y: np.ndarray, max_lag: int = 12) -> int:
     return min(range(1, most + 1), key=bic)
 
 
-def granger(x: np.ndarray, y: np.ndarray, max_lag: int = 12, threshold: float = 0.05) -> tuple[str, int, float]:
+def direction_name(p_xy: float, p_yx: float, threshold: float = 0.05) -> str:
+    """Which way is significant."""
+    both = (p_xy < threshold, p_yx < threshold)
+    return {(True, True): "bidirectional", (True, False): "x->y", (False, True): "y->x", (False, False): "none"}[both]
+
+
+def granger(x: np.ndarray, y: np.ndarray, max_lag: int = 12, threshold: float = 0.05, levels: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[str, int, float, bool]:
+    """(direction, lag, least p, cointegrated). Where the levels, if given, are cointegrated, they are tested instead."""
+    if len(x) != len(y) or len(x) < 30:
+        raise ValueError("two series of one length, 30 points at least")
+    together = levels is not None and len(levels[0]) == len(levels[1]) and cointegration(*levels)[0]
+    if together:
+        x, y = levels
     lag = bic_lag(x, y, max_lag)
     pf, pb = granger_p(x, y, lag), granger_p(y, x, lag)
-    name = "bidirectional" if pf < threshold and pb < threshold else "x->y" if pf < threshold else "y->x" if pb < threshold else "none"
-    return name, lag, min(pf, pb)
+    return direction_name(pf, pb, threshold), lag, min(pf, pb), bool(together)
+
+
+def per_equation_bic_lag(x: np.ndarray, y: np.ndarray, max_lag: int = 12) -> int:
+    """Lag with the least sum of both equations' BIC, each lag on its own sample: a cross-check of bic_lag."""
+    best = (math.inf, 1)
+    for lag in range(1, max(1, min(max_lag, len(x) // 5)) + 1):
+        n = len(y) - lag
+        if n <= 2 * lag + 1:
+            continue
+        past = np.column_stack([lag_matrix(y, lag), lag_matrix(x, lag), np.ones(n)])
+        spread = [least_squares(past, v[lag:])[1] / n for v in (x, y)]
+        if min(spread) > 0:
+            best = min(best, (n * sum(map(math.log, spread)) + 2 * (2 * lag + 1) * math.log(n), lag))
+    return best[1]
+
+
+def granger_cross_check(x: np.ndarray, y: np.ndarray, max_lag: int = 12, threshold: float = 0.05) -> tuple[str, int, float, float]:
+    """(direction, lag, p of x to y, p of y to x) with the lag by per_equation_bic_lag."""
+    lag = per_equation_bic_lag(x, y, max_lag)
+    pf, pb = granger_p(x, y, lag), granger_p(y, x, lag)
+    return direction_name(pf, pb, threshold), lag, pf, pb
+
+
+def histogram_mi(x: np.ndarray, y: np.ndarray, bins: int = 20) -> float:
+    """Plug-in mutual information in nats on a bins * bins grid, at least 0."""
+    c = np.histogram2d(x, y, bins)[0] / len(x)
+    free = c.sum(1, keepdims=True) * c.sum(0, keepdims=True)
+    return max(0.0, float((c[c > 0] * np.log(c[c > 0] / free[c > 0])).sum()))
+
+
+def histogram_permutation_p(x: np.ndarray, y: np.ndarray, n_perm: int = 200, bins: int = 20, threshold: float = 0.05, seed: int = 42) -> tuple[float, float]:
+    """(mi, p) as permutation_p, by histogram; a run that stops early still divides by all n_perm."""
+    observed, rng, above = histogram_mi(x, y, bins), np.random.default_rng(seed), 0
+    for done in range(1, n_perm + 1):
+        above += histogram_mi(x, rng.permutation(y), bins) >= observed
+        if done >= 10 and (above + 1) / (n_perm + 1) >= threshold:
+            break
+    return observed, (above + 1) / (n_perm + 1)
+
+
+def best_lag(x: np.ndarray, y: np.ndarray, max_lag: int = 12, k: int = 7) -> tuple[int, list[float]]:
+    """(lag of the greatest information, profile); the first of equal ones; lag 1 and [0] where no lag fits."""
+    profile = lag_profile(x, y, max_lag, k) or [0.0]
+    return 1 + int(np.argmax(profile)), profile
 
 
 def ridge(a: np.ndarray, b: np.ndarray, test: np.ndarray, alpha: float = 1.0) -> np.ndarray:
@@ -265,11 +339,58 @@ def out_of_sample(x: np.ndarray, y: np.ndarray, lag: int, ratio: float = 0.7) ->
     return 1 - float(((target - best_model(both_train, y[lag:split], both_test)) ** 2).mean()) / base if base >= 1e-15 else 0.0
 
 
-def walk_forward(x: np.ndarray, y: np.ndarray, lag: int, train: int = 60, test: int = 24, step: int = 12, least: float = 0.6) -> tuple[float, float, bool]:
-    """(pass ratio, ratio without regime breaks, robust) over moving windows."""
-    r2 = [out_of_sample(x[s : s + train + test + lag], y[s : s + train + test + lag], lag, train / (train + test + lag)) for s in range(0, len(x) - train - test - lag + 1, step)] if test >= lag + 10 else []
-    if len(r2) < 3:
-        return 0.0, 0.0, False
-    steady = [r for r in r2 if r >= -2]
-    ratio = sum(r > 0.01 for r in r2) / len(r2)
-    return ratio, sum(r > 0.01 for r in steady) / len(steady) if len(steady) >= 3 else ratio, ratio >= least
+def walk_forward(x: np.ndarray, y: np.ndarray, lag: int, train: int = 60, test: int = 24, step: int = 12, least: float = 0.6, gain: float = 0.01, broken: float = -2.0, steady: int = 3) -> tuple[list[float], float, bool, int, float, bool]:
+    """(gains of moving windows, pass ratio, robust, regime breaks, pass ratio without those, robust without those).
+
+    A window breaks the regime where its gain lies under `broken`; with fewer than `steady` others the second ratio is 0.
+    """
+    size = train + test + lag
+    starts = range(0, len(x) - size + 1, step) if test >= lag + 10 else ()
+    gains = [out_of_sample(x[s : s + train + test], y[s : s + train + test], lag, train / (train + test)) for s in starts]
+    share = lambda r2: sum(r > gain for r in r2) / len(r2) if r2 else 0.0
+    others = [r for r in gains if r >= broken]
+    ratio, adjusted = share(gains), share(others) if len(others) >= steady else 0.0
+    return gains, ratio, bool(gains) and ratio >= least, len(gains) - len(others), adjusted, len(others) >= steady and adjusted >= least
+
+
+def both_halves(x: np.ndarray, y: np.ndarray, lag: int, at: float = 0.5, gain: float = 0.01) -> tuple[float, float, bool]:
+    """(gain in the first part, in the second, both over `gain`); a part of lag + 20 points or fewer has gain 0."""
+    mid = int(len(x) * at)
+    first, second = (out_of_sample(a, b, lag) if len(a) > lag + 20 else 0.0 for a, b in ((x[:mid], y[:mid]), (x[mid:], y[mid:])))
+    return first, second, first > gain and second > gain
+
+
+def sharpe(returns: np.ndarray, periods: int = 12) -> float:
+    spread = returns.std()
+    return 0.0 if len(returns) < 2 or spread < 1e-10 else float(returns.mean() / spread * math.sqrt(periods))
+
+
+def random_sharpes(returns: np.ndarray, draws: int = 1000, seed: int = 42) -> tuple[float, float]:
+    """(mean, deviation) of the Sharpe ratios of random long or short positions."""
+    rng = np.random.default_rng(seed)
+    found = np.array([sharpe(rng.choice([-1.0, 1.0], size=len(returns)) * returns) for _ in range(draws)])
+    return float(found.mean()), float(found.std())
+
+
+def backtest(x: np.ndarray, y: np.ndarray, lag: int, ratio: float = 0.6, draws: int = 1000) -> tuple:
+    """(train, test, slope, sharpe, yearly return, drawdown, win rate, the same three of holding, random mean and deviation).
+
+    y is traded long or short by the sign of a ridge prediction from x `lag` places earlier.
+    """
+    if len(x) < lag + 40:
+        raise ValueError(f"{len(x)} common points are too few for lag {lag}")
+    past, now = x[: len(x) - lag], y[lag:]
+    cut = int(len(past) * ratio)
+    if len(past) - cut < 10:
+        raise ValueError(f"{len(past) - cut} test points are too few")
+    a, b = past[:cut] - past[:cut].mean(), now[:cut]
+    slope = float(a @ (b - b.mean()) / (a @ a + 1.0))
+    held = now[cut:]
+    trades = np.where(b.mean() + slope * (past[cut:] - past[:cut].mean()) > 0, 1.0, -1.0) * held
+
+    def drawdown(returns: np.ndarray) -> float:
+        worth = 100 + np.cumsum(returns)
+        peak = np.maximum.accumulate(worth)
+        return float(((worth - peak) / peak).min())
+
+    return cut, len(held), slope, sharpe(trades), float(trades.mean() * 12), drawdown(trades), float((trades > 0).mean()), sharpe(held), float(held.mean() * 12), drawdown(held), *random_sharpes(held, draws)

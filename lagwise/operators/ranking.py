@@ -86,3 +86,15 @@ def high_correlation(rows: DataFrame, rho: DataFrame, most: float = 0.95, least:
     """rows without pairs whose levels correlate over `most` on `least` dates or more; pairs without data stay."""
     drop = rho.where((F.col("n") >= least) & (F.abs("rho") > most)).select("x", "y")
     return rows.join(drop, ["x", "y"], "left_anti")
+
+
+def verdict(beats_random: Column, beats_hold: Column) -> Column:
+    """What a backtest shows, in words; null where it wasn't run."""
+    random = F.when(beats_random, "beats random (>2 sigma)").when(~beats_random, "does NOT beat random")
+    return F.concat(random, F.lit(" | "), F.when(beats_hold, "beats buy-and-hold").otherwise("does NOT beat buy-and-hold"))
+
+
+def gates(found: DataFrame, rules: dict[str, tuple[str, int]]) -> DataFrame:
+    """gate, value, least, passed: a row per rule name -> (column of the one row of found, least value)."""
+    rows = F.array(*[F.struct(F.lit(name).alias("gate"), F.col(c).cast("long").alias("value"), F.lit(least).cast("long").alias("least")) for name, (c, least) in rules.items()])
+    return found.select(F.explode(rows).alias("r")).select("r.*", (F.col("r.value") >= F.col("r.least")).alias("passed"))

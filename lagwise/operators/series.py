@@ -82,6 +82,18 @@ def target_unit(gap: float) -> str:
     return "year" if 360 <= gap <= 370 else "month"
 
 
+def downsample(high: DataFrame, low: DataFrame, how: str = "avg") -> DataFrame:
+    """ts, high, low: one series (ts, value) brought to the calendar unit of a sparser one, then dates they share.
+
+    Where `high` isn't denser than `low`, both are aligned as they are.
+    """
+    two = high.select(F.lit("high").alias("variable_id"), "ts", "value").unionByName(low.select(F.lit("low").alias("variable_id"), "ts", "value"))
+    gaps = {r["variable_id"]: r["median_gap"] for r in median_gap(two).collect()}  # two rows
+    one = lambda i, rows: rows.where(F.col("variable_id") == i).select("ts", F.col("value").alias(i))
+    left = two if gaps.get("high", 0.0) >= gaps.get("low", 0.0) else resample(two.where("variable_id = 'high'"), target_unit(gaps["low"]), how)
+    return one("high", left).join(one("low", two), "ts").orderBy("ts")
+
+
 def quality(obs: DataFrame, min_obs: int = 120, min_var: float = 1e-10, max_nan: float = 0.20) -> DataFrame:
     """Each series' verdict and the first rule that it breaks."""
     v = real()

@@ -15,8 +15,10 @@ from ..config import Config
 from ..operators import pairs as P
 from ..operators import ranking as R
 from ..operators import series as S
+from ..session import new_path, written
 from ..sources import payloads as L
 from ..sources.star import order_catalog, order_observations, table
+from . import reports as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,6 +81,8 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rank(R.score(R.benjamini_hochberg(tested(spark, sf_dir), 0.95, "direction_pvalue")))
 
 
+#: As patterns of RE2.
+REGIONAL = "|".join([*L.STATE_NAMES, *L.REGIONAL_WORDS]).replace("(", "[(]").replace(")", "[)]")
 ONE, TWO = "orders:1-URGENT:F", "orders:2-HIGH:F"
 
 
@@ -315,7 +319,7 @@ def backtest(spark, sf_dir):
     return r6(out.select("pair", "sharpe", "win_rate", "hold_sharpe"), "sharpe", "win_rate", "hold_sharpe")
 
 
-@query("SELECT c_custkey, title FROM (SELECT c_custkey, concat(n_name, ' ', c_mktsegment) AS title FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE NOT regexp_matches(lower(title), '" + "|".join([*L.STATE_NAMES, "chin", " auto"]) + "')")
+@query("SELECT c_custkey, title FROM (SELECT c_custkey, concat(n_name, ' ', c_mktsegment) AS title FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE NOT regexp_matches(lower(title), '" + REGIONAL + "|chin| auto')")
 def regional_filter(spark, sf_dir):
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = c.select("c_custkey", F.concat_ws(" ", "n_name", "c_mktsegment").alias("title"))
@@ -350,7 +354,7 @@ def parse_period(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", p.alias("p")).withColumn("ts", L.parse_period(F.col("p")))
 
 
-@query("SELECT series_id, query, title, popularity, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY popularity DESC, series_id) AS place FROM (SELECT concat('P', p_partkey) AS series_id, p_brand AS query, substr(p_name, 1, 120) AS title, p_size AS popularity FROM part WHERE p_size >= 10 AND p_partkey % 7 <> 0 AND NOT regexp_matches(lower(p_name), '" + "|".join([*L.STATE_NAMES, " msa", " metro", " county"]) + "')) ) WHERE place <= 10 ORDER BY query, place LIMIT 100")
+@query("SELECT series_id, query, title, popularity, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY popularity DESC, series_id) AS place FROM (SELECT concat('P', p_partkey) AS series_id, p_brand AS query, substr(p_name, 1, 120) AS title, p_size AS popularity FROM part WHERE p_size >= 10 AND p_partkey % 7 <> 0 AND NOT regexp_matches(lower(p_name), '" + REGIONAL + "')) ) WHERE place <= 10 ORDER BY query, place LIMIT 100")
 def discovery_cap(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     found = part.select(F.concat(F.lit("P"), "p_partkey").alias("series_id"), F.col("p_brand").alias("query"), F.col("p_name").alias("title"), F.lit("M").alias("frequency"), F.col("p_size").alias("popularity"))
@@ -381,6 +385,138 @@ def smoke_gates(spark, sf_dir):
     return ranked(spark, sf_dir).agg(F.count("*").alias("n_pairs"), F.count_if(s > 3).alias("n_over_3"), F.bool_and(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf"))).alias("all_finite"))
 
 
+FLAT = SCORED + """, flat AS (SELECT rank, score, x AS x_id, x_name, y AS y_id, y_name, direction, lag::BIGINT AS lag, mi, direction_pvalue, oos_r2, confidence,
+concat_ws('; ', CASE WHEN NOT oos_valid THEN 'out-of-sample validation failed' END, CASE WHEN direction = 'bidirectional' THEN 'bidirectional' END) AS caveats FROM ranked)"""
+
+
+def flat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hypotheses, written once: they are used more than once by reports."""
+    return written(O.flat(R.caveats(ranked(spark, sf_dir))), "hypotheses")
+
+
+def joined_caveats(df: DataFrame) -> DataFrame:
+    return df.withColumn("caveats", F.array_join("caveats", "; "))
+
+
+@query("SELECT * FROM flat", FLAT)
+def hypothesis_rows(spark, sf_dir):
+    return joined_caveats(O.flat(R.caveats(ranked(spark, sf_dir))))
+
+
+@query("SELECT *, split_part(x_id, ':', 1) AS x_source, DATE '2000-01-01' AS start_date FROM flat WHERE rank <= 50", FLAT)
+def json_round_trip(spark, sf_dir):
+    """The best 50 exported as a JSON envelope and read back."""
+    path = new_path(spark, "json")
+    O.export_json(R.caveats(ranked(spark, sf_dir)), path, 50)
+    return joined_caveats(O.read_hypotheses(spark, path)).drop("y_source", "frequency", "geo")
+
+
+@query("SELECT json_extract_string(j, '$.disclaimer') AS disclaimer, CAST(json_extract(j, '$.total') AS BIGINT) AS total FROM (SELECT to_json({'disclaimer': 'Predictive associations, NOT proof of causation.', 'total': count(*)}) AS j FROM flat WHERE rank <= 50)", FLAT)
+def json_envelope(spark, sf_dir):
+    rows = flat_rows(spark, sf_dir).where("rank <= 50")
+    j = O.envelope(rows, "rank", "hypotheses", O.DISCLAIMER, total=True)
+    return j.select(F.from_json("json", "struct<disclaimer:string,total:long>").alias("j")).select("j.*")
+
+
+@query("SELECT * REPLACE (CAST(rank AS VARCHAR) AS rank, CAST(lag AS VARCHAR) AS lag) FROM (SELECT * EXCLUDE (score, mi, direction_pvalue, oos_r2) FROM flat)", FLAT)
+def csv_round_trip(spark, sf_dir):
+    """All 13 columns exported as CSV and read back as text; numbers that engines print differently left out."""
+    path = new_path(spark, "csv")
+    O.export_csv(R.caveats(ranked(spark, sf_dir)), path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.drop("score", "mi", "direction_pvalue", "oos_r2").fillna("", ["caveats"])
+
+
+CARD = """concat('+', repeat('-', 59), '+', chr(10), printf('| #%d  Score: %.2f/10  [%s]', rank, score, upper(confidence)), chr(10), '+', repeat('-', 59), '+', chr(10),
+'|  ', x_name, chr(10), printf('|    %s  (lag: %d periods)', direction, lag), chr(10), '|  ', y_name, chr(10), '|', chr(10), printf('|  MI: %.4f  |  Dir p: %.2e  |  OOS R2: %.4f', mi, direction_pvalue, oos_r2), chr(10),
+'|  Series: ', x_id, ' -> ', y_id, CASE WHEN caveats = '' THEN '' ELSE concat(chr(10), '  Caveats:', chr(10), '    [!] ', replace(caveats, '; ', concat(chr(10), '    [!] '))) END, chr(10), '|', chr(10),
+'|  Predictive associations, NOT proof of causation.', chr(10), '+', repeat('-', 59), '+')"""
+
+
+@query(f"SELECT rank, {CARD} AS card FROM flat WHERE rank <= 20", FLAT)
+def report_cards(spark, sf_dir):
+    return O.cards(O.flat(R.caveats(ranked(spark, sf_dir)).where("rank <= 20")))
+
+
+@query("SELECT CASE WHEN count(*) = 0 THEN 'No significant hypotheses found.' ELSE concat('Hypotheses: ', count(*), ' (high ', count(*) FILTER (confidence = 'high'), ', medium ', count(*) FILTER (confidence = 'medium'), ', low ', count(*) FILTER (confidence = 'low'), '). Predictive associations, NOT proof of causation.') END AS header FROM flat", FLAT)
+def report_header(spark, sf_dir):
+    return O.confidence_header(O.flat(R.caveats(ranked(spark, sf_dir))))
+
+
+CANDIDATES = FLAT + """, cand AS (SELECT CASE direction WHEN 'x->y' THEN x_id ELSE y_id END AS signal, CASE direction WHEN 'x->y' THEN y_id ELSE x_id END AS target, CASE direction WHEN 'x->y' THEN x_name ELSE y_name END AS signal_name,
+CASE direction WHEN 'x->y' THEN y_name ELSE x_name END AS target_name, lag, oos_r2, score, confidence, mi, direction_pvalue FROM flat WHERE direction <> 'bidirectional' AND lag >= 1 AND oos_r2 >= 0.01 AND oos_r2 > 0.02 ORDER BY oos_r2 DESC, signal, target LIMIT 10)"""
+
+
+@query("SELECT signal, target, concat(printf('[Score: %.1f/10]  [%s]', score, upper(confidence)), chr(10), '  Signal: ', signal_name, chr(10), '    --> Target: ', target_name, chr(10), printf('    Lag: %d periods  |  OOS R2: %.4f  |  Dir p: %.2e  |  MI: %.4f', lag, oos_r2, direction_pvalue, mi), chr(10), printf('    %s leads %s by %d periods (R2 %.4f)', signal, target, lag, oos_r2)) AS card FROM cand", CANDIDATES)
+def trading_cards(spark, sf_dir):
+    all_ = R.caveats(ranked(spark, sf_dir))
+    return O.trading_cards(O.trading_rows(O.flat(all_), R.trading_candidates(all_)))
+
+
+@query("SELECT 15::BIGINT AS total_variables_ingested, count(*) AS total_hypotheses, count(*) FILTER (confidence = 'high') AS high_confidence, count(*) FILTER (confidence = 'medium') AS medium_confidence, count(*) FILTER (caveats NOT LIKE '%out-of-sample%') AS oos_validated, 2::BIGINT AS known_relationships_found, 10::BIGINT AS trading_candidates FROM flat", FLAT)
+def run_summary(spark, sf_dir):
+    return O.run_summary(O.flat(R.caveats(ranked(spark, sf_dir))), 15, 2, 10)
+
+
+@query("SELECT gate, value, least, value >= least AS passed FROM (SELECT 'variables' AS gate, (SELECT count(*) FROM cat) AS value, 500::BIGINT AS least UNION ALL SELECT 'validated', (SELECT count(*) FILTER (oos_valid) FROM ranked), 30 UNION ALL SELECT 'known', (SELECT count(*) FROM ranked WHERE contains(x, 'URGENT') AND contains(y, '5-LOW')), 5 UNION ALL SELECT 'candidates', (SELECT count(*) FROM cand), 5)", CANDIDATES + ", cat AS" + CAT.split(", cat AS")[1])
+def run_gates(spark, sf_dir):
+    """Whether a run has enough variables, validated hypotheses, known relations and candidates."""
+    rows = written(ranked(spark, sf_dir), "ranked")
+    known = (F.contains("x", F.lit("URGENT")) & F.contains("y", F.lit("5-LOW")))
+    one = rows.agg(F.count_if("oos_valid").alias("validated"), F.count_if(known).alias("known"))
+    one = one.join(R.trading_candidates(rows).agg(F.count("*").alias("candidates"))).join(order_catalog(spark, sf_dir).agg(F.count("*").alias("variables")))
+    return R.gates(one, {"variables": ("variables", 500), "validated": ("validated", 30), "known": ("known", 5), "candidates": ("candidates", 5)})
+
+
+@query("SELECT concat('climate:', r_name, '_', n_name, '_', d) AS variable_id, concat(n_name, ' ', d) AS name, CASE d WHEN 'TAVG' THEN 'celsius' WHEN 'PRCP' THEN 'mm' WHEN 'CLDD' THEN 'degree_days' ELSE 'unknown' END AS unit, r_name AS geo FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('TAVG'), ('PRCP'), ('CLDD'), ('WIND')) t(d)")
+def station_cross(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return L.station_catalog(n.select(F.concat_ws(":", "r_name", "n_name").alias("station_id"), F.col("n_name").alias("name"), F.col("r_name").alias("geo")), ("TAVG", "PRCP", "CLDD", "WIND"))
+
+
+@query("SELECT concat('climate:', r_name, '_', n_name, '_TAVG') AS variable_id, concat(r_name, ':', n_name) AS station_id, 'TAVG' AS datatype, make_date(y, 1, 1) AS start, make_date(least(y + 9, 1994), 12, 31) AS end FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES (1970), (1980), (1990)) t(y) WHERE NOT contains(r_name, '_')")
+def climate_requests(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return L.climate_requests(L.station_catalog(n.select(F.concat_ws(":", "r_name", "n_name").alias("station_id"), F.col("n_name").alias("name"), F.col("r_name").alias("geo")), ("TAVG",)), 1970, 1994)
+
+
+@query("SELECT concat('energy:', o_orderpriority) AS variable_id, make_date(year(o_orderdate)::BIGINT, month(o_orderdate)::BIGINT, 1) AS ts, o_totalprice AS value FROM orders WHERE o_orderkey % 5 NOT IN (0, 1)")
+def energy_payload(spark, sf_dir):
+    """Landed bodies, one per customer: periods as yyyy-MM, every fifth value null, every fifth no number."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 5
+    cell = F.struct(F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.when(k == 0, None).when(k == 1, "w/h").otherwise(F.col("o_totalprice").cast("string")).alias("value"))
+    data = o.groupBy(F.concat(F.lit("energy:"), "o_orderpriority").alias("variable_id"), "o_custkey").agg(F.collect_list(cell).alias("data"))
+    bodies = data.select("variable_id", F.to_json(F.struct(F.struct(F.size("data").alias("total"), "data").alias("response"))).alias("body"))
+    return L.energy_rows(bodies)
+
+
+def _climate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed pages, one per customer and half year, those of customers divisible by 7 broken."""
+    o = table(spark, sf_dir, "orders")
+    cell = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.lit("TAVG").alias("datatype"), F.lit("s").alias("station"), F.col("o_totalprice").alias("value"))
+    year = (F.floor(F.year("o_orderdate") / 10) * 10).cast("int")
+    page = o.groupBy(F.concat(F.lit("climate:"), "o_orderpriority").alias("variable_id"), year.alias("first_year"), (F.col("o_custkey") * 1000 + 1).alias("page_offset")).agg(F.collect_list(cell).alias("results"))
+    result = F.struct(F.struct(F.struct(F.lit(1).alias("offset"), F.size("results").alias("count"), F.lit(1000).alias("limit")).alias("resultset")).alias("metadata"), "results")
+    return page.select("variable_id", "first_year", "page_offset", F.when((F.col("page_offset") - 1) / 1000 % 7 == 0, "<html>503</html>").otherwise(F.to_json(result)).alias("body"))
+
+
+@query("SELECT concat('climate:', o_orderpriority) AS variable_id, CAST(o_orderdate AS DATE) AS ts, o_totalprice AS value FROM orders WHERE o_custkey % 7 <> 0")
+def climate_payload(spark, sf_dir):
+    return L.climate_rows(_climate_pages(spark, sf_dir))
+
+
+@query("SELECT concat('climate:', o_orderpriority) AS variable_id, CAST(floor(year(o_orderdate) / 10) * 10 AS INTEGER) AS first_year, count(DISTINCT o_custkey) FILTER (o_custkey % 7 <> 0) AS pages, count(*) FILTER (o_custkey % 7 <> 0) AS rows FROM orders GROUP BY 1, 2")
+def climate_chunks(spark, sf_dir):
+    return L.climate_chunks(_climate_pages(spark, sf_dir)).drop("complete")
+
+
+@query(f"SELECT a.ts, round(a.value, 6) AS high, round(b.value, 6) AS low FROM (SELECT CAST(date_trunc('month', ts) AS DATE) AS ts, avg(value) AS value FROM obs WHERE variable_id = '{ONE}' GROUP BY 1) a JOIN (SELECT ts, value FROM mon WHERE variable_id = '{TWO}') b USING (ts)", MON)
+def downsample_align(spark, sf_dir):
+    obs = order_observations(spark, sf_dir)
+    low = monthly(spark, sf_dir).where(F.col("variable_id") == TWO)
+    return r6(S.downsample(obs.where(F.col("variable_id") == ONE), low), "high", "low")
+
+
 @query("SELECT x, y, n, round(corr(rx, ry), 6) AS rho FROM (SELECT x, y, count(*) OVER (PARTITION BY x, y) AS n, rank() OVER (PARTITION BY x, y ORDER BY xv) + (count(*) OVER (PARTITION BY x, y, xv) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY x, y ORDER BY yv) + (count(*) OVER (PARTITION BY x, y, yv) - 1) / 2.0 AS ry FROM pairs) WHERE n >= 48 GROUP BY 1, 2, 3 ORDER BY abs(rho) DESC, x, y LIMIT 20", PAIRS)
 def flagship(spark, sf_dir):
     return entry_query(spark, sf_dir)
