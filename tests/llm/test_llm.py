@@ -278,6 +278,42 @@ def test_packing(docs):
     assert len(by) <= len(packing.best_fit([r.length for r in got])[2]) + 1
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_merges_place_every_item(seed):
+    """Runs of a group against the items written out: each in one place, bins gapless and within capacity, none lost however many there are."""
+    r = random.Random(seed)
+    counts = {c: {r.randint(1, 64): r.choice([1, 2, 5, 400]) for _ in range(r.randint(0, 20))} for c in range(5)}
+    bins, runs = {}, packing.runs_of(7, counts, 64)
+    for child, lengths in counts.items():
+        for n, c in lengths.items():
+            for k in range(c):
+                ((_, _, lo, _, delta, each, shift, fill, base, parent),) = [x for x in runs if x[:2] == (child, n) and x[2] <= k < x[3]]
+                bins.setdefault((fill, base + (k + delta) // each), []).append((shift + (k + delta) % each * n, n))
+    for (fill, _), parts in bins.items():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in pairwise(parts)) and sum(parts[-1]) == fill <= 64
+    lengths = [n for c in counts.values() for n, k in c.items() for _ in range(k)]
+    fewest = packing.best_fit(lengths, 64)[2]
+    assert sum(n for n, _ in packing.best_fit_counts({n: lengths.count(n) for n in set(lengths)}, 64)) == len(bins) <= len(fewest) * 1.02 + 1
+
+
+def test_packing_over_many_partitions(spark):
+    """More partitions than a merge takes, a length that never pairs, and empty texts that fill every last place."""
+    import public_tokenizers
+
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("abcdefg") for _ in range(r.choice([1, 3, 700, 1100, 1900, 2046])))) for i in range(1500)] + [(i, None) for i in range(1500, 2500)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(37), str(public_tokenizers.path("byte_bpe_50k.json"))).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for parts in by.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in pairwise(parts)) and sum(parts[-1]) <= 2048
+    assert len(got) == len({(x.doc_id, x.piece) for x in got}) and len({x.doc_id for x in got}) == 2500
+    assert len(by) <= len(packing.best_fit([x.length for x in got])[2]) * 1.02 + 1
+
+
 def test_encoder_equals_tokenizers():
     import public_tokenizers
     from tokenizers import Tokenizer
