@@ -10,10 +10,13 @@ Profiles count every n-gram of every training document: tasks add up their own,
 distinct n-grams are shuffled. They are small by construction (PROFILE rows a language)
 and go to the executors. Prediction is one scan without a shuffle.
 
-Ties in frequency go by code point, ties between languages by name. Defined cases: null
-text or text without a letter is `und` with score 0; so is everything if nothing can be
-learned; null lang isn't learned from; repeated rows count and are judged each; an empty
-table gives an empty result.
+Ties in frequency go by the n-gram's code points, in profiles and texts alike, ties between
+languages by name. Defined cases: null text or text without a letter is `und` with score 0; so
+is everything if nothing can be learned; null lang isn't learned from; a text of any length is
+counted whole; repeated rows count and are judged each; a null doc_id counts as the empty text
+where documents are split and is returned as null; an empty table gives an empty result; columns
+other than doc_id, text and lang, of any name, are ignored. Profiles go to every executor, so
+more than MAX_LANGS languages are an error (ValueError) and not cut.
 """
 
 from __future__ import annotations
@@ -42,7 +45,10 @@ def _letters() -> np.ndarray:
 
 
 class Grams:
-    """A block's n-grams as dense numbers: symbols are numbered by code point, 0 is a word's boundary."""
+    """A block's n-grams as numbers in the order of their code points.
+
+    Symbols are numbered from 1 by code point, 1 is a word's boundary, and 0 stands where a gram has ended.
+    """
 
     def __init__(self, block: Block):
         raw = block.data.tobytes()
@@ -52,47 +58,51 @@ class Grams:
         held = np.zeros(0x110000, bool)
         held[codes] = True
         held[0] = True
-        self.number = np.cumsum(held) - 1
+        self.number = np.cumsum(held)
         self.number[~held] = -1
-        self.symbols = np.flatnonzero(held)
-        self.bits = max(1, int(len(self.symbols) - 1).bit_length())
+        self.symbols = np.concatenate([[0], np.flatnonzero(held)])
+        self.bits = int(len(self.symbols) - 1).bit_length()
         s = self.number[codes].astype(np.uint64)
         doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
         doc = np.concatenate([doc, [len(texts) - 1]]) if len(texts) else np.zeros(1, np.int64)
         b = np.uint64(self.bits)
-        one = np.flatnonzero(s[:-1] > 0)
-        two = np.flatnonzero((s[:-1] > 0) | (s[1:] > 0))
-        three = np.flatnonzero(s[1:-1] > 0)
-        parts = [(doc[np.maximum(one - 1, 0)], s[one]), (doc[np.where(s[two] > 0, two - 1, two)], (s[two] << b) | s[two + 1]), (doc[three], (s[three] << (b + b)) | (s[three + 1] << b) | s[three + 2])]
-        self.doc = np.concatenate([p[0] for p in parts])
-        self.gram = np.concatenate([p[1] | np.uint64(n << (3 * self.bits)) for n, p in enumerate(parts, 1)])
-        self.shift = np.uint64(3 * self.bits + 2)
+        one = np.flatnonzero(s[:-1] > 1)
+        two = np.flatnonzero((s[:-1] > 1) | (s[1:] > 1))
+        three = np.flatnonzero(s[1:-1] > 1)
+        self.doc = np.concatenate([doc[np.maximum(one - 1, 0)], doc[np.where(s[two] > 1, two - 1, two)], doc[three]])
+        self.gram = np.concatenate([s[one] << (b + b), (s[two] << (b + b)) | (s[two + 1] << b), (s[three] << (b + b)) | (s[three + 1] << b) | s[three + 2]])
 
     def counted(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (label of the document, gram) with counts, ascending."""
-        key = np.sort((label[self.doc].astype(np.uint64) << self.shift) | self.gram)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        n = np.diff(np.append(starts, len(key)))
-        key = key[starts]
-        return (key >> self.shift).astype(np.int64), key & ((np.uint64(1) << self.shift) - np.uint64(1)), n
+        of, shift = label[self.doc], np.uint64(3 * self.bits)
+        if not len(of):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if 3 * self.bits + int(of.max()).bit_length() <= 64:
+            key = np.sort((of.astype(np.uint64) << shift) | self.gram)
+            which, gram = (key >> shift).astype(np.int64), key & ((np.uint64(1) << shift) - np.uint64(1))
+        else:
+            order = np.lexsort((self.gram, of))
+            which, gram = of[order].astype(np.int64), self.gram[order]
+        starts = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (gram[1:] != gram[:-1])]))
+        return which[starts], gram[starts], np.diff(np.append(starts, len(which)))
 
     def spell(self, gram: np.ndarray) -> list[str]:
         """Grams as text, boundaries as spaces."""
         mask = np.uint64((1 << self.bits) - 1)
-        n = (gram >> np.uint64(3 * self.bits)).astype(np.int64)
-        chars = [self.symbols[((gram >> np.uint64(k * self.bits)) & mask).astype(np.int64)] for k in (2, 1, 0)]
-        rows = np.where(np.stack(chars, 1) == 0, 32, np.stack(chars, 1))
-        return ["".join(map(chr, r[SIZES - k :])) for r, k in zip(rows.tolist(), n.tolist())]
+        number = np.stack([((gram >> np.uint64(k * self.bits)) & mask).astype(np.int64) for k in (2, 1, 0)], 1)
+        size = (number > 0).sum(1).tolist()
+        chars = np.where(number == 1, 32, self.symbols[number])
+        return ["".join(map(chr, r[:n])) for r, n in zip(chars.tolist(), size)]
 
     def find(self, texts: list[str]) -> np.ndarray:
-        """The dense numbers of grams given as text; 0 for those with a symbol that isn't in this block."""
+        """The numbers of grams given as text; 0 for those with a symbol that isn't in this block."""
         out = np.zeros(len(texts), np.uint64)
         for k, t in enumerate(texts):
-            symbols = [0 if c == " " else int(self.number[ord(c)]) for c in t]
-            if min(symbols) >= 0:
-                v = len(t) << (3 * self.bits)
-                for j, s in enumerate(reversed(symbols)):
-                    v |= s << (j * self.bits)
+            symbols = [1 if c == " " else int(self.number[ord(c)]) for c in t]
+            if min(symbols) > 0:
+                v = 0
+                for j, s in enumerate(symbols):
+                    v |= s << ((SIZES - 1 - j) * self.bits)
                 out[k] = v
         return out
 
