@@ -11,13 +11,18 @@ and gap -1) where these hold enough of the item's words. A document is contamina
 item if the alignment matches at least SIMILARITY of the item's words.
 
 The test items are the query set: they go to the executors in blocks of at most BLOCK_WORDS
-words, one scan each, so what is broadcast is bounded whatever their number. The corpus is
-never shuffled; a hot passage is aligned once per task and text around it.
-Items longer than PIECE words are aligned in pieces of equal length (one word more or less),
-and one contaminated piece counts.
-
-Defined cases: items without a word match nothing; null texts hold nothing; null doc_ids are returned as null; repeated rows are
-judged each; repeated items give a row for each item_id; either table empty: empty result.
+words, one scan each and one after the other, so what is broadcast and what the driver holds
+are bounded whatever their number. The corpus is never shuffled; a hot passage is aligned once
+per task and text around it. Hits of a text that repeats part of an item over and over chain
+without end, so a chain is aligned in overlapping windows, each of at most two items' length
+and the slack around. Items longer than PIECE words are aligned in pieces of equal length (one
+word more or less), and one contaminated piece counts.
+
+Defined cases: items without a word and null items match nothing; null texts hold nothing; a text
+of any length is searched whole; null doc_ids are returned as null; repeated rows are judged each;
+repeated items give a row for each item_id; of equally similar passages the higher score, then
+the first one is reported; either table empty: empty result (clean: docs as they are); columns other
+than doc_id, item_id and text, of any name, are ignored and come back unchanged from clean.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 from .packed import U64, hash_spans, mix, spans, text_bytes
 from .shared import cut
 
-GRAM, SIMILARITY, PIECE, BLOCK_WORDS, SLACK = 3, 0.8, 256, 200_000, 8
+GRAM, SIMILARITY, PIECE, BLOCK_WORDS, SLACK = 3, 0.8, 256, 500_000, 8
 MATCH, MISS = 2, -1
 #: Bytes of text worked on at a time, and of windows whose alignments are remembered; hits at a time (those of one text at least).
 SLICE, MEMO, HITS = 1 << 21, 1 << 24, 1 << 20
@@ -142,6 +147,11 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
     return score, matched, int(j), end
 
 
+def windows(first: int, last: int, size: int) -> list[tuple[int, int]]:
+    """The range of a chain's beginnings in ranges of at most `size`, each sharing its end with the next."""
+    return [(at, min(at + size, last)) for at in range(first, max(last, first + 1), size)]
+
+
 class Finder:
     """Contaminations in batches of texts; alignments of equal words are done once."""
 
@@ -187,10 +197,9 @@ class Finder:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(row)) - 1
         best: dict[tuple[int, int], tuple] = {}
-        for a, b in zip(first.tolist(), last.tolist()):
-            r, p = int(row[a]), int(piece[a])
+        for r, p, at, to in ((int(row[a]), int(piece[a]), *span) for a, b in zip(first.tolist(), last.tolist()) for span in windows(int(start[a]), int(start[b]), int(size[a]))):
             item, slack = self.index.words[p], SLACK + len(self.index.words[p]) // 4
-            lo, hi = max(int(begin[r]), int(start[a]) - slack), min(int(begin[r + 1]), int(start[b]) + len(item) + slack)
+            lo, hi = max(int(begin[r]), at - slack), min(int(begin[r + 1]), to + len(item) + slack)
             if np.isin(item, w[lo:hi]).mean() < SIMILARITY:
                 continue
             score, matched, i, j = self._align(p, w[lo:hi])
@@ -224,39 +233,43 @@ def index_blocks(items: DataFrame) -> Iterator[Index]:
         yield index.build()
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, score, first_word, last_word: a row per document and item that it holds."""
-    parts = []
-    for index in index_blocks(items):
+def _find(index: Index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(index)
+        for batch in slices(batches):
+            found = finder.find(batch.column("text"))
+            ids = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
+            rest = list(zip(*(f[1:] for f in found))) if found else [()] * 5
+            kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, t) for c, t in zip(rest, kinds))], names=[x.split()[0] for x in FOUND.split(", ")])
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            finder = Finder(index)
-            for batch in slices(batches):
-                found = finder.find(batch.column("text"))
-                ids = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
-                rest = list(zip(*(f[1:] for f in found))) if found else [()] * 5
-                kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, t) for c, t in zip(rest, kinds))], names=[x.split()[0] for x in FOUND.split(", ")])
+    return run
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, FOUND))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], FOUND)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return cut(out, "contaminated")
 
+def _drop(index: Index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(index)
+        for batch in slices(batches):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[f[0] for f in finder.find(batch.column("text"))]] = False
+            yield batch.filter(pa.array(keep))
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no test item, unchanged."""
+    return run
+
+
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, similarity, score, first_word, last_word: a row per document and item that it holds."""
+    out = None
     for index in index_blocks(items):
+        found = cut(docs.select("doc_id", "text").mapInArrow(_find(index), FOUND), "contaminated")
+        out = found if out is None else out.unionAll(found)
+    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            finder = Finder(index)
-            for batch in slices(batches):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in finder.find(batch.column("text"))]] = False
-                yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that hold no test item, unchanged. With several blocks of items what is left is written after each."""
+    first = True
+    for index in index_blocks(items):
+        docs = (docs if first else cut(docs, "clean")).mapInArrow(_drop(index), docs.schema)
+        first = False
     return docs

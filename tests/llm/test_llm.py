@@ -567,3 +567,71 @@ def test_toxicity_features():
     off = np.cumsum([0, *map(len, texts)])
     got = Known(None).features(np.frombuffer(b"".join(texts), np.uint8), off)
     assert got == pytest.approx(np.array([[4 / 3, 5, 4 / 3, math.log(3)], [0, 0, 0, 0], [0, 0, 0, 0], [-2, -2, -2, 0]]))
+
+
+def test_out_of_place_by_brute_force(spark):
+    """Profiles and distances against counters and sorted lists: equal counts go by code point on both sides."""
+    r = random.Random(11)
+    make = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n))
+    kinds = {"en": ["th", "er", "ba"], "fr": ["eau", "oi", "ç"], "zh": ["漢", "字", "語"]}
+    rows = [(i, make(kinds[lang], r.choice([1, 2, 5, 60])) + r.choice(["", " 12!", "\nÉ"]), lang) for i, lang in enumerate(r.choice(list(kinds)) for _ in range(90))]
+    rows += [(100, None, "en"), (101, "7", "fr"), (102, "ba", None), (103, "x" * 5000, None), (102, "ba", None)]
+
+    def grams(text):
+        s = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+        words = [f" {w} " for w in s.split()]
+        return Counter(g for w in words for n in (1, 2, 3) for i in range(len(w) - n + 1) if (g := w[i : i + n]).strip() and (n < 3 or g[1] != " "))
+
+    top = lambda c: sorted(c, key=lambda g: (-c[g], g))[: language_id.PROFILE]
+    total = {}
+    for i, t, lang in rows:
+        if lang and t is not None and zlib.crc32(str(i).encode()) % 5:
+            total.setdefault(lang, Counter()).update(grams(t))
+    profiles = {k: {g: n for n, g in enumerate(top(c))} for k, c in sorted(total.items())}
+    learned = language_id.learn(spark.createDataFrame([x for x in rows if zlib.crc32(str(x[0]).encode()) % 5], "doc_id long, text string, lang string"))
+    assert {k: list(v) for k, v in profiles.items()} == learned
+    want = []
+    for i, t, _ in rows:
+        own = top(grams(t))
+        if not own:
+            want.append((i, "und", 0.0))
+            continue
+        far = {k: sum(abs(p[g] - n) if g in p else language_id.PROFILE for n, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        want.append((i, best, round(1 - far[best] / (len(own) * language_id.PROFILE), 9)))
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted((x.doc_id, x.lang_pred, round(x.score, 9)) for x in got) == sorted(want)
+
+
+def test_chains_are_aligned_in_windows():
+    item = [f"w{k}" for k in range(40)]
+    index = decontam.Index()
+    index.add(0, decontam.words(*decontam.lowered(pa.array([" ".join(item)])))[0])
+    index.build()
+    seen = []
+    old = decontam.align
+    try:
+        decontam.align = lambda a, b: seen.append(len(b)) or old(a, b)
+        text = " ".join((item[:10] + item[10:34]) * 300 + ["x"] + item)
+        found = decontam.Finder(index).find(pa.array([text, " ".join(item[:10] * 500)]))
+    finally:
+        decontam.align = old
+    assert found[0][:3] == (0, 0, 1.0) and len(found) == 1 and max(seen) <= 2 * 40 + 2 * (8 + 10)
+
+
+@pytest.mark.parametrize("every,least", [(12, 0.99), (8, 0.99), (5, 0.9)])
+def test_recall_of_edited_copies(spark, every, least):
+    """Of the benchmark's own items with one word in `every` changed, left out or put in, how many are found."""
+    r = random.Random(every)
+    items = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("text").orderBy("item_id").limit(150).collect()]
+    index = decontam.Index()
+    texts = []
+    for k, item in enumerate(items):
+        index.add(k, decontam.words(*decontam.lowered(pa.array([item])))[0])
+        w = item.split()
+        for i in sorted(r.sample(range(len(w)), len(w) // every), reverse=True):
+            w[i : i + 1] = r.choice([["changed"], [], [w[i], "more"]])
+        texts.append(" ".join(["before"] * 20 + w + ["after"] * 20))
+    found = {x[:2] for x in decontam.Finder(index.build()).find(pa.array(texts))}
+    print("recall", every, sum((k, k) in found for k in range(len(items))) / len(items))
+    assert sum((k, k) in found for k in range(len(items))) >= least * len(items)
