@@ -451,16 +451,68 @@ def test_urls(spark):
     assert got == [(1, "sub.example.net", "/en/x", "example.net/en/", "allow"), (2, "a.net", "/", "net/", "block"), (2, "a.net", "/", "net/", "block"), (3, "", "", "", ""), (4, "", "", "", ""), (5, "example.com", "/de/1", "example.com/de/", "block"), (6, "b.org", "/fr/", "org/fr/", "allow"), (7, "b.org", "", "", ""), (8, "notexample.com", "/de/", "", "")]
 
 
-def test_chat(spark):
-    calls = [(1, 0, 0, "a", "say", {"text": "x", "chars": "1"}, ["b"]), (1, 2, 0, "b", "say", {"text": 'q"', "chars": "no"}, []), (1, 4, 0, "c", "other", None, ["d"]), (1, 6, 0, "d", "say", {"text": "t", "more": "1"}, ["c"]), (2, 0, 0, "a", "say", {"text": "é", "chars": "2"}, ["zz"]), (1, 0, 0, "a", "say", {"text": "x", "chars": "1"}, ["b"]), (None, 0, 0, None, "say", None, None)]
+CALL = "conv_id long, turn long, idx int, call_id string, name string, arguments string, refs array<string>"
+ANSWER = "conv_id long, turn long, call_id string, content string"
+
+
+@pytest.mark.parametrize("small", [64, 0])
+def test_chat(spark, small):
+    schemas = {"say": {"text": ("string", True), "chars": ("integer", True)}, "put": {"text": ("integer", False), "deep": ("object", False), "some": ("array", False), "x": ("number", False), "ok": ("boolean", False)}, "none": {}}
+    calls = [
+        (1, 0, 0, "a", "say", '{"text": "7", "chars": 1}', ["b", "b", None]), (1, 2, 0, "b", "say", '{"chars":"5\\n","text":"q\\""}', []), (1, 4, 0, "c", "other", None, ["d"]), (1, 6, 0, "d", "say", '{"text":"t","more":1}', ["c"]), (1, 7, 0, "e", "say", '{"text":"t","chars":1}', ["c", "a"]),
+        (2, 0, 0, "a", "say", '{"chars":2,"text":"é"}', ["zz"]), (1, 0, 0, "a", "say", '{"text": "7", "chars": 1}', ["b", "b", None]), (None, 0, 0, None, "say", None, None), (None, 0, 0, "n", "none", "{}", None),
+        (3, 0, 0, "p", "put", '{ "x": 1.50, "text": "5", "deep": {"z": 1, "a": [2, {"q":null,"b":1}]}, "some": [], "ok": true}', None), (3, 0, 1, "q", "put", '{"text":5,"deep":[],"some":{},"x":"1","ok":null}', None), (3, 1, 0, "r", "put", "[1]", None), (3, 2, 0, "s", "put", '{"x":1,"x":2}', None), (3, 3, 0, "t", "none", '{"x":1}', None),
+    ]
     results = [(1, 1, "a", "ok"), (1, 9, "zz", "lost"), (2, 1, "a", None)]
-    got = {(r.conv_id, r.call_id): r for r in chat_format.link(spark.createDataFrame(calls, "conv_id long, turn long, idx int, call_id string, name string, arguments map<string,string>, refs array<string>"), spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), chat_format.TURN_SCHEMA).collect()}
-    assert len(got) == 7
-    assert got[1, "b"].level < got[1, "a"].level and got[1, "c"].level == got[1, "d"].level == -1
+    got = {(r.conv_id, r.call_id): r for r in chat_format.link(spark.createDataFrame(calls, CALL), spark.createDataFrame(results, ANSWER), schemas, small).collect()}
+    assert len(got) == 14
+    assert [got[1, c].level for c in "abcde"] == [1, 0, -1, -1, -1]
     assert got[1, "a"].status == "linked" and got[1, "zz"].status == "orphan" and got[1, "b"].status == "unanswered"
-    assert got[1, "b"].errors == "chars is not integer" and got[1, "d"].errors == "missing chars; unknown more" and got[1, "c"].errors == "unknown tool"
-    assert got[1, "a"].canonical_json == '{"arguments":{"chars":1,"text":"x"},"id":"a","name":"say","result":"ok"}'
-    assert sorted(r.position for (c, _), r in got.items() if c == 1) == [0, 1, 2, 3, 4]
+    assert got[1, "b"].errors == "chars is not integer" and got[1, "d"].errors == "missing chars; unknown more" and got[1, "c"].errors == "unknown tool" and got[1, "a"].errors == ""
+    assert got[1, "a"].canonical_json == '{"arguments":{"chars":1,"text":"7"},"id":"a","name":"say","result":"ok"}'
+    assert got[3, "p"].canonical_json.startswith('{"arguments":{"deep":{"a":[2,{"b":1,"q":null}],"z":1},"ok":true,"some":[],"text":"5","x":1.5},') and got[3, "p"].errors == "text is not integer"
+    assert got[3, "q"].errors == "deep is not object; ok is not boolean; some is not array; x is not number"
+    assert got[3, "r"].errors == got[3, "s"].errors == "arguments are no JSON object" and got[3, "r"].canonical_json.startswith('{"arguments":"[1]",') and got[3, "t"].errors == "unknown x"
+    assert [r.call_id for r in sorted((r for (c, _), r in got.items() if c == 1), key=lambda r: r.position)] == ["c", "d", "e", "b", "zz", "a"]
+    assert got[None, None].position is None and got[None, "n"].errors == ""
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_chat_order_by_brute_force(spark, small):
+    """Random references, cycles among them, against depth-first longest chains."""
+    r = random.Random(small)
+    calls, want = [], {}
+    for conv in range(12):
+        n = r.randint(1, 12)
+        refs = {t: [u for u in r.sample(range(n + 2), min(n, r.randint(0, 2))) if u != t or r.random() < 0.2] for t in range(n)}
+        if r.random() < 0.6:
+            refs = {t: [u for u in us if u > t] for t, us in refs.items()}
+        calls += [(conv, t, 0, f"c{t}", "say", "{}", [f"c{u}" for u in us]) for t, us in refs.items()]
+
+        def depth(t, seen):
+            if t in seen:
+                return math.inf
+            return max([depth(u, seen | {t}) + 1 for u in refs[t] if u < n], default=0)
+
+        twisted = any(t <= u < n for t, us in refs.items() for u in us)
+        for t in range(n):
+            d = depth(t, frozenset()) if twisted else 0
+            want[conv, f"c{t}"] = -1 if d == math.inf else d
+    got = chat_format.link(spark.createDataFrame(calls, CALL), spark.createDataFrame([], ANSWER), chat_format.TURN_SCHEMA, small).collect()
+    assert {(x.conv_id, x.call_id): x.level for x in got} == want
+    for conv in range(12):
+        own = sorted((x for x in got if x.conv_id == conv), key=lambda x: x.position)
+        assert [x.position for x in own] == list(range(len(own))) and [(x.level, x.turn) for x in own] == sorted((x.level, x.turn) for x in own)
+
+
+def test_chat_from_messages(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", '{"tool_calls":[{"id":"x","name":"say","arguments":{"chars":2,"text":"a b"}},{"id":"y","name":"say","arguments":"{\\"chars\\":3}"},{"id":"z","name":"say"}]}'), (1, 2, "tool", '{"tool_call_id":"x","content":"done"}'), (1, 3, "assistant", "{broken"), (1, 4, "tool", "no json"), (2, 0, None, None)]
+    calls, results = chat_format.turns_as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {x.call_id: x for x in chat_format.link(calls, results, chat_format.TURN_SCHEMA).collect()}
+    assert got["x"].canonical_json == '{"arguments":{"chars":2,"text":"a b"},"id":"x","name":"say","result":"done"}' and got["x"].status == "linked"
+    assert got["y"].errors == "missing text" and got["z"].errors == "missing chars; missing text"
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.link(*chat_format.turns_as_calls(empty), chat_format.TURN_SCHEMA).count() == 0
 
 
 def test_language(spark):
