@@ -451,6 +451,29 @@ def test_urls(spark):
     assert got == [(1, "sub.example.net", "/en/x", "example.net/en/", "allow"), (2, "a.net", "/", "net/", "block"), (2, "a.net", "/", "net/", "block"), (3, "", "", "", ""), (4, "", "", "", ""), (5, "example.com", "/de/1", "example.com/de/", "block"), (6, "b.org", "/fr/", "org/fr/", "allow"), (7, "b.org", "", "", ""), (8, "notexample.com", "/de/", "", "")]
 
 
+def test_url_trees_learn_from_the_url(spark):
+    """Labels that follow from the look of a URL and not from its suffix; four in five are given, the rest is judged."""
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    good = lambda: f"https://{word(6)}.{r.choice(['com', 'org', 'net'])}/{word(5)}/{word(8)}.html"
+    bad = lambda: f"http://{word(4)}-{r.randrange(10**6)}.{r.choice(['com', 'org', 'net'])}/{r.randrange(10**8)}?a={r.randrange(99)}&b={word(3)}&c={r.randrange(10**5)}"
+    rows = [(i, bad() if i % 3 == 0 else good(), 1.0 if i % 3 == 0 else 0.0) for i in range(900)]
+    rows += [(900 + i, rows[3][1], 1.0) for i in range(200)]  # one URL many times
+    pages = spark.createDataFrame([(i, u, "x") for i, u, _ in rows], "page_id long, url string, host string")
+    labels = spark.createDataFrame([(u, x) for i, u, x in rows if i % 5], "url string, label double")
+    got = {x.page_id: x for x in url_filters.classify(pages, [("allow", "never.example", "/")], labels=labels).collect()}
+    assert len(got) == 1100 and all(x.rule is None for x in got.values())
+    held = [got[i].verdict == ("block" if x else "allow") for i, _, x in rows[:900] if i % 5 == 0]
+    assert sum(held) >= 0.97 * len(held)
+
+
+def test_suffix_rates_leave_the_own_rule_out(spark):
+    rows = [(1, "net", "a", 1.0), (2, "net", "a", 1.0), (3, "net", "b", 0.0), (4, "net", None, None), (5, "com", "c", 1.0)]
+    got = {x.page_id: (round(math.expm1(x.f_sfx_n)), x.f_sfx_rate) for x in url_filters.with_suffix_stats(spark.createDataFrame(rows, "page_id long, suffix string, rule string, label double")).collect()}
+    s = url_filters.SMOOTHING
+    assert got == {1: (4, s / 2 / (1 + s)), 2: (4, s / 2 / (1 + s)), 3: (4, (2 + s / 2) / (2 + s)), 4: (4, (2 + s / 2) / (3 + s)), 5: (1, 0.5)}
+
+
 CALL = "conv_id long, turn long, idx int, call_id string, name string, arguments string, refs array<string>"
 ANSWER = "conv_id long, turn long, call_id string, content string"
 
