@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. Between stages the rows are written as Parquet and read back, so a
 failed stage starts again from its input.
+
+Defined cases: null, empty and wordless texts fall at the base rules; documents of any length
+pass through whole; a null doc_id is kept and counts as larger than all others wherever ids are
+compared; of rows repeated with their id, and of near copies, one stays; a text that is all
+repeated passages stays as an empty document; an empty table of documents gives no sequences, an
+empty benchmark drops nothing; further columns of documents, of any name, pass through to the
+last stage unchanged, but for n_chars, which follows the text.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("sequences", sequences)]
 
-#: Near-duplicate components, alignment and best-fit have no SQL; tests/llm compares run()'s doc_ids with the stages called one by one and looks for verbatim items.
+#: Near-duplicate components, alignment and best-fit have no SQL; tests/llm/test_pipeline.py compares run() with a brute-force version of all stages.
 ORACLE_SQL = None
 
 
