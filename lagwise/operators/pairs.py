@@ -15,10 +15,30 @@ def pair_window() -> WindowSpec:
     return Window.partitionBy("x", "y")
 
 
-def aligned(obs: DataFrame) -> DataFrame:
-    """The common dates of every unordered pair."""
+#: Series in a block; with more series than this a date's pairs are dealt over several tasks.
+BLOCK = 2000
+
+
+def blocks_for(n_series: int) -> int:
+    return max(1, -(-n_series // BLOCK))
+
+
+def aligned(obs: DataFrame, blocks: int = 1) -> DataFrame:
+    """The common dates of every unordered pair.
+
+    With one block a date's pairs are made by one task. With more, series are dealt into blocks by
+    a hash, every observation is sent once for each block that it may meet, and a task makes the
+    pairs of one date and two blocks: blocks times the shuffle, blocks squared times the tasks.
+    """
     a, b = obs.select(F.col("variable_id").alias("x"), "ts", F.col("value").alias("xv")), obs.select(F.col("variable_id").alias("y"), "ts", F.col("value").alias("yv"))
-    return a.join(b, (a["ts"] == b["ts"]) & (a["x"] < b["y"])).select("x", "y", a["ts"], "xv", "yv")
+    same = (a["ts"] == b["ts"]) & (a["x"] < b["y"])
+    if blocks > 1:
+        of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+        a = a.withColumn("own", of("x")).withColumn("other", every)
+        b = b.withColumn("own", of("y")).withColumn("other", every)
+        same = (a["ts"] == b["ts"]) & (a["own"] == b["other"]) & (a["other"] == b["own"]) & (a["x"] < b["y"])
+    return a.join(b, same).select("x", "y", a["ts"], "xv", "yv")
 
 
 def align(obs: DataFrame, x: str, y: str, method: str = "inner") -> DataFrame:

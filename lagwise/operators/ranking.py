@@ -34,8 +34,19 @@ def score(rows: DataFrame, weights=(0.25, 0.25, 0.35, 0.15)) -> DataFrame:
 
 
 def rank(rows: DataFrame, order=("score",), ties=("x", "y")) -> DataFrame:
-    """rows with rank 1..N, best first; equal scores in the order of their ids."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*[F.desc(c) for c in order], *ties)).cast("long"))
+    """rows with rank 1..N, best first; equal scores in the order of their ids.
+
+    Only the distinct scores (two places, so about a thousand) are sorted in one task; rows are
+    sorted within their score and moved up by how many have a better one.
+    """
+    counts = rows.groupBy(*order).agg(F.count("*").alias("_n"))
+    better = F.coalesce(F.sum("_n").over(Window.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select(*[F.col(c).alias(f"_{c}") for c in order], better.alias("_base"))
+    same = F.lit(True)
+    for c in order:
+        same = same & rows[c].eqNullSafe(base[f"_{c}"])
+    out = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*order).orderBy(*ties)))
+    return out.join(base, same).withColumn("rank", (F.col("_base") + F.col("_place")).cast("long")).drop("_base", "_place", *[f"_{c}" for c in order])
 
 
 def caveats(rows: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def discover(obs: DataFrame, cfg: Config = Config()) -> DataFrame:
     Fewer than two series give an empty result. Every stage is written, so that no plan holds the ones before.
     """
     ready = prepared(obs, cfg)
-    pairs = P.aligned(ready)
+    pairs = P.aligned(ready, P.blocks_for(ready.select("variable_id").distinct().count()))
     long = P.overlapping(pairs, cfg.min_observations).select("x", "y")
     if cfg.prescreen > 0:
         long = long.join(written(P.prescreen(pairs, cfg.prescreen, cfg.prescreen_lags).select("x", "y"), "prescreened"), ["x", "y"], "left_semi")

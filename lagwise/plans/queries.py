@@ -447,7 +447,7 @@ CANDIDATES = FLAT + """, cand AS (SELECT CASE direction WHEN 'x->y' THEN x_id EL
 CASE direction WHEN 'x->y' THEN y_name ELSE x_name END AS target_name, lag, oos_r2, score, confidence, mi, direction_pvalue FROM flat WHERE direction <> 'bidirectional' AND lag >= 1 AND oos_r2 >= 0.01 AND oos_r2 > 0.02 ORDER BY oos_r2 DESC, signal, target LIMIT 10)"""
 
 
-@query("SELECT signal, target, concat(printf('[Score: %.1f/10]  [%s]', score, upper(confidence)), chr(10), '  Signal: ', signal_name, chr(10), '    --> Target: ', target_name, chr(10), printf('    Lag: %d periods  |  OOS R2: %.4f  |  Dir p: %.2e  |  MI: %.4f', lag, oos_r2, direction_pvalue, mi), chr(10), printf('    %s leads %s by %d periods (R2 %.4f)', signal, target, lag, oos_r2)) AS card FROM cand", CANDIDATES)
+@query("SELECT signal, target, concat(printf('[Score: %.2f/10]  [%s]', score, upper(confidence)), chr(10), '  Signal: ', signal_name, chr(10), '    --> Target: ', target_name, chr(10), printf('    Lag: %d periods  |  OOS R2: %.4f  |  Dir p: %.2e  |  MI: %.4f', lag, oos_r2, direction_pvalue, mi), chr(10), printf('    %s leads %s by %d periods (R2 %.4f)', signal, target, lag, oos_r2)) AS card FROM cand", CANDIDATES)
 def trading_cards(spark, sf_dir):
     all_ = R.caveats(ranked(spark, sf_dir))
     return O.trading_cards(O.trading_rows(O.flat(all_), R.trading_candidates(all_)))
@@ -517,6 +517,21 @@ def downsample_align(spark, sf_dir):
     return r6(S.downsample(obs.where(F.col("variable_id") == ONE), low), "high", "low")
 
 
+@query("SELECT concat('landed:', c_custkey) AS variable_id, 'landed' AS source, c_name AS name, c_mktsegment AS unit, 'daily' AS frequency, count(*) AS observations, min(CAST(o_orderdate AS DATE)) AS start_date, max(CAST(o_orderdate AS DATE)) AS end_date FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 50) JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2, 3, 4, 5")
+def landed_list(spark, sf_dir):
+    """The first 50 entries of a curated list, from landed rows of which every third is null or NaN."""
+    catalog = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").cast("string").alias("series_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("unit"), F.lit("daily").alias("frequency"))
+    value = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).when(F.col("o_orderkey") % 2 == 0, float("nan"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("series_id"), F.col("o_orderdate").alias("ts"), value.alias("value"))
+    return L.landed_series(catalog, rows, "landed", 50)[0]
+
+
+@query("SELECT x, y, count(*) AS n, round(corr(xv, yv), 6) AS r FROM pairs GROUP BY 1, 2", PAIRS)
+def blocked_pairs(spark, sf_dir):
+    """All pairs dealt by blocks of series as well as by date."""
+    return P.aligned(monthly(spark, sf_dir), blocks=4).groupBy("x", "y").agg(F.count("*").alias("n"), F.round(F.corr("xv", "yv"), 6).alias("r"))
+
+
 @query("SELECT x, y, n, round(corr(rx, ry), 6) AS rho FROM (SELECT x, y, count(*) OVER (PARTITION BY x, y) AS n, rank() OVER (PARTITION BY x, y ORDER BY xv) + (count(*) OVER (PARTITION BY x, y, xv) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY x, y ORDER BY yv) + (count(*) OVER (PARTITION BY x, y, yv) - 1) / 2.0 AS ry FROM pairs) WHERE n >= 48 GROUP BY 1, 2, 3 ORDER BY abs(rho) DESC, x, y LIMIT 20", PAIRS)
 def flagship(spark, sf_dir):
     return entry_query(spark, sf_dir)

@@ -93,7 +93,7 @@ def trading_rows(hypotheses: DataFrame, candidates: DataFrame) -> DataFrame:
 def trading_cards(rows: DataFrame) -> DataFrame:
     """signal, target, card of trading rows."""
     text = F.format_string(
-        "[Score: %.1f/10]  [%s]\n  Signal: %s\n    --> Target: %s\n    Lag: %d periods  |  OOS R2: %.4f  |  Dir p: %.2e  |  MI: %.4f\n    %s",
+        "[Score: %.2f/10]  [%s]\n  Signal: %s\n    --> Target: %s\n    Lag: %d periods  |  OOS R2: %.4f  |  Dir p: %.2e  |  MI: %.4f\n    %s",
         "score", F.upper("confidence"), "signal_name", "target_name", "lag", "oos_r2", "direction_pvalue", "mi", "description",
     )
     return rows.select("signal", "target", text.alias("card"))

@@ -106,3 +106,16 @@ def discover(found: DataFrame, curated: DataFrame, frequencies=("M", "W", "BW",
     w = Window.partitionBy("query").orderBy(F.desc("popularity"), "series_id")
     best = first.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= per_query)
     return best.withColumn("title", F.substring("title", 1, 120)).orderBy("pos", "query", "place").drop("pos").limit(total)
+
+
+def landed_series(catalog: DataFrame, rows: DataFrame, source: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(series, observations) of the first `limit` entries of a curated list (pos, series_id, name, unit, frequency) from landed rows(series_id, ts, value).
+
+    Null and NaN values are dropped; entries without any value have no series.
+    """
+    wanted = catalog if limit is None else catalog.orderBy("pos").limit(limit)
+    key = F.concat(F.lit(source + ":"), "series_id")
+    obs = rows.join(wanted.select("series_id"), "series_id", "left_semi").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    obs = obs.select(key.alias("variable_id"), F.col("ts").cast("date").alias("ts"), F.col("value").cast("double").alias("value"))
+    found = obs.groupBy("variable_id").agg(F.count("*").alias("observations"), F.min("ts").alias("start_date"), F.max("ts").alias("end_date"))
+    return wanted.select(key.alias("variable_id"), F.lit(source).alias("source"), "name", "unit", "frequency").join(found, "variable_id"), obs
