@@ -191,3 +191,15 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], test_mod: int = 5,
 def identify(docs: DataFrame, test_mod: int = 5, test_rest: int = 0) -> DataFrame:
     """Profiles from documents that aren't held out; then predict all."""
     return predict(docs, learn(docs.where(crc_mod("doc_id", test_mod) != test_rest)), test_mod, test_rest)
+
+
+#: `identify` over a table `documents` with non-null doc_ids, in DuckDB's dialect. Its lower() and letters are those of Unicode's simple rules.
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, text, concat(' ', trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')), ' ') AS t,
+xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 5 = 0 AS held_out FROM documents),
+c AS (SELECT rid, c, lead(c, 1, '') OVER w AS c2, lead(c, 2, '') OVER w AS c3 FROM (SELECT rid, unnest(string_split(t, '')) AS c, unnest(range(length(t))) AS i FROM d WHERE t <> '  ') WINDOW w AS (PARTITION BY rid ORDER BY i)),
+g AS (SELECT rid, g, count(*) AS n FROM (SELECT rid, c AS g FROM c WHERE c <> ' ' UNION ALL SELECT rid, c || c2 FROM c WHERE c2 <> '' UNION ALL SELECT rid, c || c2 || c3 FROM c WHERE c3 <> '' AND c2 <> ' ') GROUP BY 1, 2),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS place FROM g JOIN d USING (rid) WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2 QUALIFY place < {PROFILE}),
+own AS (SELECT rid, g, row_number() OVER (PARTITION BY rid ORDER BY n DESC, g) - 1 AS rank FROM g QUALIFY rank < {PROFILE}),
+far AS (SELECT rid, l.lang, sum(CASE WHEN place IS NULL THEN {PROFILE} ELSE abs(place - rank) END) AS distance, count(*) AS size FROM own CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.g = own.g GROUP BY 1, 2),
+best AS (SELECT rid, lang, 1 - distance::DOUBLE / (size * {PROFILE}) AS score FROM far QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN best USING (rid)"""

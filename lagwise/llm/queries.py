@@ -70,4 +70,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_format, op3_quality_rules, op4_language_id, op5_best_fit_packing, op6_decontamination, op7_suffix_dedup, op8_simhash_dedup, op9_lm_scoring, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat_format.SQL, "op3_quality_rules": quality_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat_format.SQL, "op3_quality_rules": quality_rules.SQL, "op4_language_id": language_id.SQL, "op7_suffix_dedup": suffix_dedup.SQL}

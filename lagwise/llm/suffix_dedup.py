@@ -398,3 +398,16 @@ def _exchange(rows: DataFrame, sent_back: DataFrame, route: Route | None, hot: i
     asked = rows.mapInArrow(send_docs, PACKET).unionAll(met).groupBy("dst").applyInArrow(_ask_contexts(route), PACKET)
     least = resolve(asked, [Shared(), LeastId(STRINGS)], route, "dedup-strings")
     return sent_back.unionAll(met).unionAll(least).groupBy("dst")
+
+
+#: `dedup` over a table `documents`, in DuckDB's dialect: every string of every text, as hexadecimal digits (c: texts in chunks, which overlap, since substr walks from the start).
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT rid, doc_id, j, substr(h, 512 * j + 1, {512 + 2 * LENGTH - 2}) AS c FROM (SELECT rid, doc_id, h, unnest(range(0, length(h) // 512 + 1)) AS j FROM d)),
+s AS (SELECT rid, coalesce(doc_id, 9223372036854775808::HUGEINT) AS id, 256 * j + i AS i, substr(c, 2 * i + 1, {2 * LENGTH}) AS k FROM (SELECT rid, doc_id, j, c, unnest(range(0, least(256, length(c) // 2 - {LENGTH - 1}))) AS i FROM c)),
+m AS (SELECT k, min(id) AS least FROM s GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM s JOIN m USING (k) WHERE least < id),
+run AS (SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS r FROM hit),
+span AS (SELECT rid, min(i) AS a, max(i) + {LENGTH} AS z FROM run GROUP BY rid, r),
+part AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS from_ FROM span),
+gone AS (SELECT rid, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS head, max(z) AS last FROM part JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256 FROM d LEFT JOIN gone USING (rid)"""
