@@ -63,7 +63,7 @@ def test_walk_forward():
     x = r.standard_normal(200)
     y = 0.6 * np.concatenate([[0, 0], x[:-2]]) + 0.4 * r.standard_normal(200)
     assert K.walk_forward(x, y, 2)[2]
-    assert K.walk_forward(np.ones(30), np.ones(30), 2) == (0.0, 0.0, False)
+    assert K.walk_forward(np.ones(30), np.ones(30), 2) == ([], 0.0, False, 0, 0.0, False)
 
 
 @settings(max_examples=15, deadline=None)
