@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 CAPACITY, CLOSE, FAN, SLICE = 2048, 0, 16, 1 << 16
+#: Bits of a slice's number in its partition and of a bin's in its slice; 2**30 partitions fit beside them.
+SLICE_BITS, BIN_BITS = 16, 17
 #: Groups at a level up to which its runs are broadcast: each has at most FAN * CAPACITY runs and some thousands more.
 BROADCAST_GROUPS = 4
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -187,14 +189,14 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, SLICE):
             rows = batch.slice(at, SLICE)
             bins, places, fills = best_fit(rows.column("length").to_pylist())
-            child = (part << 24) + number
+            child = (part << SLICE_BITS) + number
             seen: dict[int, int] = {}
             rank = []
             for f in fills:
                 rank.append(seen.get(f, 0))
                 seen[f] = rank[-1] + 1
             bins_, fills_, rank_ = np.array(bins, np.int64), np.array(fills, np.int64), np.array(rank, np.int64)
-            more = [pa.array((child << 24) + bins_), pa.array(places, pa.int64()), pa.array(fills_[bins_].astype(np.int32)), pa.array(np.full(len(bins), child)), pa.array(rank_[bins_])]
+            more = [pa.array((child << BIN_BITS) + bins_), pa.array(places, pa.int64()), pa.array(fills_[bins_].astype(np.int32)), pa.array(np.full(len(bins), child)), pa.array(rank_[bins_])]
             yield pa.RecordBatch.from_arrays([*rows.columns, *more], names=[f.split()[0] for f in PLACED.split(", ")])
             number += 1
 
@@ -245,8 +247,8 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     under = placed.where((F.col("at") == 0) & (F.col("fill") < CAPACITY))  # a row per bin
     moved = under.select("bin", F.col("child").alias("group"), "fill", "rank", F.lit(0).cast("long").alias("shift"))
     hist = cut(under.groupBy("child", "fill").agg(F.count("*").alias("n")), "fills")
-    size, level = (hist.agg(F.max(F.shiftright("child", 24))).first()[0] or 0) + 1, 0
-    up = F.shiftright("child", 24)  # first the slices of each partition, then FAN groups at a time
+    size, level = (hist.agg(F.max(F.shiftright("child", SLICE_BITS))).first()[0] or 0) + 1, 0
+    up = F.shiftright("child", SLICE_BITS)  # first the slices of each partition, then FAN groups at a time
     while True:
         runs = cut(hist.withColumn("parent", up).groupBy("parent").applyInArrow(_merge, RUN), f"runs-{level}")
         small = F.broadcast(runs) if size <= BROADCAST_GROUPS else runs
