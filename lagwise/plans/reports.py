@@ -1,4 +1,4 @@
-"""Hypotheses and candidates as rows, JSON envelopes, CSV and text. No lagwise.llm here.
+"""Hypotheses and candidates as rows, JSON envelopes, CSV and text.
 
 A report is what a reader looks at: envelopes and texts gather the rows they are given in one
 row, so give them the best few (top_k); export_lines and export_csv take any number of rows.
