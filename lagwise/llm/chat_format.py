@@ -10,7 +10,8 @@ Order: a reference that points to an earlier call is already satisfied by transc
 order, so such conversations are ordered by turn alone, however long they are. Of
 conversations with a forward reference those with at most SMALL calls are ordered in one
 pass: their levels (longest chains of references) are relaxed within one row, which SMALL
-bounds. Larger ones go through rounds of Kahn's algorithm, one frontier a round. Calls on a
+bounds. Larger ones whose calls have one reference each go by pointer doubling, the others
+through rounds of Kahn's algorithm, one frontier a round. Calls on a
 cycle, or that wait for one, have level -1. Positions come from counts per (conversation,
 block of turns), so a conversation with a third of all rows is spread over many tasks.
 
@@ -108,6 +109,19 @@ def _relaxed(calls: Column) -> Column:
     return F.element_at(F.transform(F.array(both), run), 1)
 
 
+def _doubled(left: DataFrame, live: DataFrame) -> DataFrame:
+    """Levels of calls with one reference at most, by pointer doubling: each round doubles the steps that a pointer stands for."""
+    most = left.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    now = cut(live.select("conv_id", "call_id", F.col("ref").alias("to"), F.lit(1).alias("steps")), "call-pointers")
+    for _ in range(most.bit_length()):  # after that only pointers on or into a cycle are left
+        ahead = now.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        now = cut(now.join(ahead, ["conv_id", "to"], "left").select("conv_id", "call_id", F.col("next").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "call-pointers")
+        if now.where("to is not null").isEmpty():
+            break
+    level = F.when(F.col("to").isNotNull(), -1).otherwise(F.coalesce("steps", F.lit(0))).cast("int")
+    return left.join(now, ["conv_id", "call_id"], "left").select("conv_id", "call_id", level.alias("level"))
+
+
 def _levels(calls: DataFrame, small: int) -> DataFrame:
     """level per call of conversations with a forward reference (-1: on or behind a cycle); others have none."""
     slim = calls.where(F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()).select("conv_id", "call_id", "turn", "idx", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
@@ -124,6 +138,9 @@ def _levels(calls: DataFrame, small: int) -> DataFrame:
     if left.isEmpty():
         return done[0]
     live = edges.join(left.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "call_id", "ref")
+    many = cut(live.groupBy("conv_id", "call_id").agg(F.count("*").alias("n")).where("n > 1").select("conv_id").distinct(), "calls-many")
+    done.append(_doubled(left.join(many, "conv_id", "left_anti"), live.join(many, "conv_id", "left_anti")))
+    left, live = cut(left.join(many, "conv_id", "left_semi"), "calls-left"), live.join(many, "conv_id", "left_semi")
     # how many references of each call are still open; only what the last round freed is looked at
     open_ = live.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
     free, level = cut(left.join(open_, ["conv_id", "call_id"], "left_anti"), "calls-free"), 0
