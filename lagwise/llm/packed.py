@@ -13,7 +13,8 @@ An exchange is linear in its input: a block sends at most `fan` packets of a kin
 the number of buckets. Where more buckets than that are needed, packets of one key range from
 a group of blocks meet at a node, which merges their keys and asks `fan` narrower ranges in
 turn; answers come back the same way. Nodes of every level are as many as buckets, and each
-hop costs one more shuffle of the keys that are left after merging (see Route).
+hop costs two tables and three shuffles of the keys, while a wider fan only costs smaller
+packets: so the fan widens with the input before there is a second hop (see Route).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from .shared import cut
+from .shared import cut, drop, shuffles_removed
 
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
 PACKET = "dst long, src long, kind int, a binary, b binary"
@@ -215,12 +216,12 @@ class Route:
     bits: int = 7
 
     @staticmethod
-    def for_size(size: int, share: int = 16 << 20, bits: int = 7) -> Route:
-        """As many hops as keep a bucket's share of `size` bytes of text near `share` at most."""
-        hops = 1
-        while (share << (bits * hops)) < size and hops < 4:
-            hops += 1
-        return Route(hops, bits)
+    def for_size(size: int, share: int = 16 << 20, bits: int = 7, widest: int = 11) -> Route:
+        """Buckets with a share of `size` bytes of text near `share` at most: 2**bits to 2**widest of them in one hop, as many as it takes in two beyond that."""
+        need = ((max(size, 1) - 1) // share).bit_length()
+        if need <= widest:
+            return Route(1, max(bits, need))
+        return Route(2, min(max(bits, (need + 1) // 2), widest))
 
     def send(self, fold: Fold, name: int, level: int, cols: tuple[np.ndarray, ...], out: list) -> None:
         """Adds packets by which `name` asks the nodes of a level about cols (cols[0]: ascending keys)."""
@@ -368,14 +369,26 @@ def _back(folds: dict[int, Fold]):
 
 
 def resolve(asked: DataFrame, folds: list[Fold], route: Route, label: str) -> DataFrame:
-    """Answers (a written table) to packets sent with route.send at level 1."""
+    """Answers (a written table) to packets sent with route.send at level 1.
+
+    Tables of the hops and the shuffles that wrote them go as soon as nothing reads them again.
+    """
+
+    def written(df: DataFrame) -> DataFrame:
+        with shuffles_removed(df.sparkSession):
+            return cut(df, label)
+
     by = {f.kind: f for f in folds}
-    down = [asked if route.hops == 1 else cut(asked, label)]
+    down = [asked if route.hops == 1 else written(asked)]
     for level in range(1, route.hops):
-        down.append(cut(down[-1].groupBy("dst").applyInArrow(_forward(by, route, level), PACKET), label))
-    up = cut(down[-1].groupBy("dst").applyInArrow(_final(by), PACKET), label)
+        down.append(written(down[-1].groupBy("dst").applyInArrow(_forward(by, route, level), PACKET)))
+    up = written(down[-1].groupBy("dst").applyInArrow(_final(by), PACKET))
     for level in range(route.hops - 1, 0, -1):
-        up = cut(down[level - 1].unionAll(up).groupBy("dst").applyInArrow(_back(by), PACKET), label)
+        drop(down[level])
+        narrow, up = up, written(down[level - 1].unionAll(up).groupBy("dst").applyInArrow(_back(by), PACKET))
+        drop(narrow)
+    if route.hops > 1:
+        drop(down[0])
     return up
 
 

@@ -56,6 +56,8 @@ REACH = PLACES - 1
 ANCHORS, CLASSES, CONTEXTS, STRINGS = 10, 11, 12, 13
 #: Anchors with this many places or more are too common to meet in one bucket: their strings are sent one by one.
 HOT = 2048
+#: Bytes of text whose anchors a bucket meets: more buckets only cost smaller packets, a second hop twice the disk.
+SHARE = 64 << 20
 #: Symbols sorted at a time: whole anchors, so a little more where one has many contexts.
 SORTED = 1 << 17
 #: Contexts looked at together.
@@ -393,7 +395,7 @@ def strip(docs: DataFrame, route: Route | None = None, hot: int = HOT) -> DataFr
 
 def _exchange(rows: DataFrame, sent_back: DataFrame, route: Route | None, hot: int):
     """What each block needs, grouped by block: its documents as sent_back has them, and the answers to what it asked."""
-    route = route or Route.for_size(text_size(rows))
+    route = route or Route.for_size(text_size(rows), SHARE)
     met = resolve(rows.mapInArrow(_ask(route, hot), PACKET), [LeastId(CLASSES), Anchors(hot)], route, "dedup-anchors")
     asked = rows.mapInArrow(send_docs, PACKET).unionAll(met).groupBy("dst").applyInArrow(_ask_contexts(route), PACKET)
     least = resolve(asked, [Shared(), LeastId(STRINGS)], route, "dedup-strings")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from lagwise.llm import chat_format, decontam, language_id, lm_scoring, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity, url_filters
 from lagwise.llm.packed import Route
 from lagwise.llm.queries import URL_RULES
-from lagwise.llm.shared import cut
+from lagwise.llm.shared import cut, shared_dir
 from lagwise.llm.suffix_array import suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, kept string"
@@ -83,6 +84,26 @@ def test_suffix_dedup(docs, hot, route):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("gb,want", [(0.5, Route(1, 7)), (6, Route(1, 9)), (30, Route(1, 11)), (600, Route(2, 8))])
+def test_one_hop_as_long_as_its_fan_can_widen(gb, want):
+    """A second hop doubles the disk; gb: of Parquet, which counts four times."""
+    size = int(4 * gb * 1e9)
+    route = Route.for_size(size, suffix_dedup.SHARE)
+    assert route == want and suffix_dedup.SHARE << route.bits * route.hops >= size
+
+
+def test_hops_leave_no_tables_and_no_shuffles(spark, docs):
+    top = shared_dir(spark).removeprefix("file://")
+    tables = lambda: {x for x in os.listdir(top) if x.startswith(("dedup-anchors", "dedup-strings"))}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, conf = tables(), spark.conf.get(key)
+    hops = suffix_dedup.dedup(docs, route=Route(2, 3))
+    assert sorted(x.rsplit("-", 1)[0] for x in tables() - was) == ["dedup-anchors", "dedup-strings"]
+    assert spark.conf.get(key) == conf
+    wide = suffix_dedup.dedup(docs, route=Route(1, 11))
+    assert sorted(map(str, hops.collect())) == sorted(map(str, wide.collect()))
+
+
 def test_strip_keeps_columns(docs):
     out = suffix_dedup.strip(docs)
     assert out.dtypes == docs.dtypes and out.count() == len(ROWS)
